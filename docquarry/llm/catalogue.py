@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from docquarry.llm.near_dedup import near_duplicates
+from docquarry.llm.suffix_dedup import remove_repeats
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,7 +46,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN k ON k.id = d.doc_id
 
 
 def queries():
-    return {"op10_near_dedup": op10_near_dedup}
+    return {"op7_suffix_dedup": op7_suffix_dedup, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql():
