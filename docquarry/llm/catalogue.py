@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docquarry.llm.decontaminate import leaks
 from docquarry.llm.near_dedup import near_duplicates
 from docquarry.llm.suffix_dedup import remove_repeats
 
@@ -12,6 +13,10 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontaminate(spark, sf_dir):
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_suffix_dedup(spark, sf_dir):
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select(
@@ -46,7 +51,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN k ON k.id = d.doc_id
 
 
 def queries():
-    return {"op7_suffix_dedup": op7_suffix_dedup, "op10_near_dedup": op10_near_dedup}
+    return {"op2_decontaminate": op2_decontaminate, "op7_suffix_dedup": op7_suffix_dedup, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql():
