@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.llm.decontaminate import leaks
+from docquarry.llm.mixing import mix_sources
 from docquarry.llm.near_dedup import near_duplicates
 from docquarry.llm.suffix_dedup import remove_repeats
 
@@ -28,6 +29,10 @@ def op7_suffix_dedup(spark, sf_dir):
     )
 
 
+def op9_mix(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents")).drop("source")
+
+
 def op10_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN k ON k.id = d.doc_id
 
 
 def queries():
-    return {"op2_decontaminate": op2_decontaminate, "op7_suffix_dedup": op7_suffix_dedup, "op10_near_dedup": op10_near_dedup}
+    return {"op2_decontaminate": op2_decontaminate, "op7_suffix_dedup": op7_suffix_dedup, "op9_mix": op9_mix, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql():
