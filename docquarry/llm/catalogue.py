@@ -8,6 +8,7 @@ from docquarry.llm.decontaminate import leaks
 from docquarry.llm.mixing import mix_sources
 from docquarry.llm.near_dedup import near_duplicates
 from docquarry.llm.suffix_dedup import remove_repeats
+from docquarry.llm.toxicity import toxicity
 
 
 def table(spark, sf_dir, name):
@@ -29,6 +30,10 @@ def op7_suffix_dedup(spark, sf_dir):
     )
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mix(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
@@ -56,7 +61,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN k ON k.id = d.doc_id
 
 
 def queries():
-    return {"op2_decontaminate": op2_decontaminate, "op7_suffix_dedup": op7_suffix_dedup, "op9_mix": op9_mix, "op10_near_dedup": op10_near_dedup}
+    return {"op2_decontaminate": op2_decontaminate, "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op9_mix": op9_mix, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql():
