@@ -253,6 +253,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that leak an item. Rows whose id is null stay."""
-    return docs.join(leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+def _without(index):
+    def run(batches):
+        for batch in batches:
+            stay = np.ones(batch.num_rows, bool)
+            for lo, _, data, offsets in blocks(batch.column(batch.schema.get_field_index("text"))):
+                hashes, _, _, first = word_spans(data, offsets)
+                for t, _ in index.value.search(hashes, first):
+                    stay[lo + t] = False
+            yield batch.filter(pa.array(stay))
+
+    return run
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs (text, ...) that leak no item, as leaks() finds them, with the same columns."""
+    for ids, texts in benchmark_blocks(benchmark, item_col, item_text_col):
+        index = Index(ids, texts)
+        if index.ids:
+            docs = docs.mapInArrow(_without(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+    return docs

@@ -18,8 +18,8 @@ def held_out(id_col: str, n: int, rest: int) -> Column:
     return fold(id_col, n) == rest
 
 
-def training_rows(features: DataFrame, labels: DataFrame, label: str, n: int, rest: int, limit: int = TRAIN_ROWS) -> DataFrame:
-    """(f, y): features (doc_id, f) of labelled rows outside the held-out fold, a sample of at most limit rows."""
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, rest: int, limit: int = TRAIN_ROWS) -> DataFrame:
+    """docs (doc_id, ...) with y: the labelled rows outside the held-out fold, for at most limit labels."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
     known = known.filter(~held_out("doc_id", n, rest)).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(limit)
-    return features.join(known, "doc_id").select("f", "y")
+    return docs.join(F.broadcast(known), "doc_id")

@@ -216,3 +216,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sketch.select("id", "set_a", "set_b", "n").join(classes, ["set_a", "set_b"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, with the same columns; of rows that share an id, one.
+
+    Rows whose id is null stay.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    stay = docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return stay.union(docs.filter(F.col(id_col).isNull())).select(*docs.columns)

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docquarry.llm.bytesops import U, blocks, column, mix, packed, prefix_hash, regroup, span_hash
 from docquarry.llm.loser_tree import front_decode, merge
@@ -280,7 +281,7 @@ def _settle(table: pa.Table) -> pa.Table:
 
 
 def _cut(batches):
-    """(doc_id, text, spans) -> doc_id, n_bytes, the maximal removed runs and the bytes that stay."""
+    """(doc_id, text, spans, ...) -> doc_id, n_bytes, the maximal removed runs, the bytes that stay, ..."""
     run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         ids, lists = batch.column(0), batch.column(2)
@@ -301,12 +302,23 @@ def _cut(batches):
                 edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
                 removed.append([{"start": a, "end": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)])
                 kept.append(text[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n_bytes, pa.int64()), pa.array(removed, run), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+            made = [ids.slice(lo, hi - lo), pa.array(n_bytes, pa.int64()), pa.array(removed, run), pa.array(kept, pa.binary())]
+            rest = [c.slice(lo, hi - lo) for c in batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays([*made, *rest], ["doc_id", "n_bytes", "removed", "kept", *batch.schema.names[3:]])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _as_text(batches):
+    """Appends kept_text: the whole code points of kept."""
+    for batch in batches:
+        text = [x.as_py().decode("utf-8", "ignore") for x in batch.column(batch.schema.get_field_index("kept"))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*batch.schema.names, "kept_text"])
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, removed (array of start, end), kept (binary): one row for each row of docs.
 
+    Columns named in carry follow under c0, c1, ...
+
     Removed is each byte covered by a LENGTH-byte string that also starts
     earlier: in a text of smaller id, or earlier in the same text. Matches do
     not cross texts, and are judged on the input. Null counts as empty; texts
@@ -318,8 +330,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     n = tasks(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.select("id", "text", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"))
+    rest = [f"c{i}" for i in range(len(carry))]
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(a) for c, a in zip(carry, rest, strict=True)))
+    docs = docs.select("*", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"))
     ids = keep(docs.filter(f"id is not null and octet_length(text) >= {LENGTH}").select("id", "digest", F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("n")), "ids")
     firsts = ids.groupBy("digest").agg(F.min("id").alias("first"), F.min("key").alias("key"))
 
@@ -336,4 +349,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     little = F.expr("transform(array(7, 5, 3, 1), i -> substring(lpad(hex(n), 8, '0'), i, 2))")
     whole = copies.groupBy("id").agg(F.max("n").alias("n")).select("id", F.unhex(F.concat(F.lit("00000000"), F.array_join(little, ""))).alias("spans"))
     spans = keep(spans.union(whole).groupBy("id").agg(F.collect_list("spans").alias("spans")), "spans")
-    return docs.select("id", "text").join(spans, "id", "left").select("id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    made = T._parse_datatype_string("doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    return docs.join(spans, "id", "left").select("id", "text", "spans", *rest).mapInArrow(_cut, T.StructType([*made.fields, *docs.select(*rest).schema.fields]))
+
+
+def with_repeats_cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """docs, its columns as they were, with what remove_repeats() leaves of each text.
+
+    A code point that loses some of its bytes goes whole. chars_col, if there
+    is one, counts the code points anew. Rows stay even if all of their text
+    goes; a null text becomes empty.
+    """
+    rest = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    cut = remove_repeats(docs, id_col, text_col, rest)
+    cut = cut.drop("removed", "n_bytes").mapInArrow(_as_text, T.StructType([f for f in cut.schema.fields if f.name not in ("removed", "n_bytes")] + [T.StructField("kept_text", T.StringType())]))
+    types = dict(docs.dtypes)
+    own = {id_col: F.col("doc_id").cast(types[id_col]), text_col: F.col("kept_text")} | {c: F.col(f"c{i}") for i, c in enumerate(rest)}
+    if chars_col in rest:
+        own[chars_col] = F.length("kept_text").cast(types[chars_col])
+    return cut.select(*(own[c].alias(c) for c in docs.columns))

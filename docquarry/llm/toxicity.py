@@ -20,11 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docquarry.llm.bytesops import U, blocks, prefix_hash, span_hash
 from docquarry.llm.decontaminate import word_spans
-from docquarry.llm.folds import held_out, training_rows
-from docquarry.llm.store import keep
+from docquarry.llm.folds import held_out, training_sample
 
 #: The lexicon.
 LEXICON = {
@@ -148,15 +148,18 @@ def matches(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _match(batches):
+    """Appends f, the matches in column text, to whatever columns there are."""
     for batch in batches:
-        for lo, hi, data, offsets in blocks(batch.column(1)):
-            found = matches(data, offsets).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.FixedSizeListArray.from_arrays(pa.array(found.reshape(-1)), len(PATTERNS)).cast(pa.list_(pa.int32()))], ["doc_id", "f"])
+        at = batch.schema.get_field_index("text")
+        found = [matches(data, offsets).astype(np.int32) for _, _, data, offsets in blocks(batch.column(at))]
+        flat = np.concatenate(found).reshape(-1) if found else np.zeros(0, np.int32)
+        f = pa.FixedSizeListArray.from_arrays(pa.array(flat), len(PATTERNS)).cast(pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, f], [*batch.schema.names, "f"])
 
 
-def pattern_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, f: matches of each of PATTERNS, one row for each row of docs."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_match, "doc_id long, f array<int>")
+def pattern_counts(rows: DataFrame) -> DataFrame:
+    """rows, which have a text, with f: the matches of each of PATTERNS."""
+    return rows.mapInArrow(_match, T.StructType([*rows.schema.fields, T.StructField("f", T.ArrayType(T.IntegerType()))]))
 
 
 def _inputs(f: np.ndarray) -> np.ndarray:
@@ -180,16 +183,17 @@ def fit(f: np.ndarray, y: np.ndarray) -> list[float]:
     return w.tolist()
 
 
-def learn(counts: DataFrame, labels: DataFrame, label: str = "toxic") -> list[float]:
-    """Pattern weights from labelled rows outside the held-out fold (at most folds.TRAIN_ROWS of them)."""
-    rows = training_rows(counts, labels, label, 5, 0).collect()
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> list[float]:
+    """Pattern weights from labelled rows (doc_id, text) outside the held-out fold, at most folds.TRAIN_ROWS labels."""
+    rows = pattern_counts(training_sample(docs.select("doc_id", "text"), labels, label, 5, 0)).select("f", "y").collect()
     return fit(np.array([r.f for r in rows], float).reshape(len(rows), len(PATTERNS)), np.array([r.y for r in rows]))
 
 
-def scored(counts: DataFrame, weights: list[float]) -> DataFrame:
-    """counts and score: the probability of label 1."""
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) with f, the matches of each of PATTERNS, and score."""
+    weights = learn(docs, labels)
     odds = F.lit(weights[0]) + sum((F.lit(w) * F.log1p(F.col("f")[i].cast("double")) for i, w in enumerate(weights[1:])), F.lit(0.0))
-    return counts.withColumn("score", 1 / (1 + F.exp(-odds)))
+    return pattern_counts(docs).withColumn("score", 1 / (1 + F.exp(-odds)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -200,6 +204,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     kinds PRIOR stands. Rows that repeat an id are scored each. Other columns
     are ignored; an empty table gives an empty result.
     """
-    counts = keep(pattern_counts(docs, id_col, text_col), "toxicity")
-    out = scored(counts, learn(counts, labels))
+    out = scored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), labels)
     return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col("f")[i].alias(p) for i, p in enumerate(PATTERNS)))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) that score below threshold, with the same columns.
+
+    As toxicity() scores them. Columns may have any names: they pass under
+    names of our own.
+    """
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    rows = docs.select(*(F.col(f"`{c}`").alias(own.get(c, c)) for c in docs.columns))
+    return scored(rows, labels).filter(F.col("score") < threshold).select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
