@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.llm.decontaminate import leaks
+from docquarry.llm.language_model import language_model_scores
 from docquarry.llm.mixing import mix_sources
 from docquarry.llm.near_dedup import near_duplicates
 from docquarry.llm.suffix_dedup import remove_repeats
@@ -19,6 +20,10 @@ def op2_decontaminate(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language_model(spark, sf_dir):
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark, sf_dir):
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select(
@@ -61,7 +66,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN k ON k.id = d.doc_id
 
 
 def queries():
-    return {"op2_decontaminate": op2_decontaminate, "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op9_mix": op9_mix, "op10_near_dedup": op10_near_dedup}
+    return {"op2_decontaminate": op2_decontaminate, "op3_language_model": op3_language_model, "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op9_mix": op9_mix, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql():

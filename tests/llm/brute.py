@@ -1,7 +1,9 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -50,3 +52,79 @@ def remove_repeats(docs, length=100):
         kept = bytes(c for c, g in zip(b, gone, strict=False) if not g)
         out[d] = (len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def crc_fold(doc_id, n):
+    return -1 if doc_id is None else zlib.crc32(str(doc_id).encode()) % n
+
+
+def _escape_class(total, kinds):
+    return min(int(math.log2(max(total, 0) + 1) * 2), 60), min(int(math.log2(max(kinds, 0) + 1) * 4), 63)
+
+
+def context_model(texts, order):
+    """(seen, escape) of symbol lists: counts by context, and escape counts [new, all] by class."""
+    seen = {}
+    for s in texts:
+        for i in range(order, len(s)):
+            after = seen.setdefault(tuple(s[i - order : i]), {})
+            after[s[i]] = after.get(s[i], 0) + 1
+    for o in range(order - 1, -1, -1):
+        for ctx in [c for c in seen if len(c) == o + 1]:
+            for x in seen[ctx]:
+                after = seen.setdefault(ctx[1:], {})
+                after[x] = after.get(x, 0) + 1
+    escape = {}
+
+    def add(key, new, every):
+        e = escape.setdefault(key, [0, 0])
+        e[0] += new
+        e[1] += every
+
+    for ctx, after in seen.items():
+        total = sum(after.values())
+        for x, c in after.items():
+            add((len(ctx), False, *_escape_class(total - 1, len(after) - (c == 1))), int(c == 1), c)
+            if c == 1 and ctx:
+                below = seen[ctx[1:]]
+                left = {y: n for y, n in below.items() if y not in after or y == x}
+                add((len(ctx) - 1, True, *_escape_class(sum(left.values()) - 1, len(left) - (below[x] == 1))), int(below[x] == 1), 1)
+    return seen, escape
+
+
+def language_model(docs, order):
+    """[(doc_id, held_out, n_tokens, n_known, train_tokens, base, score)] of (doc_id, text), by a dictionary of contexts."""
+    count, ends, train = {}, 0, []
+    symbols = lambda t: [257] * order + [*(t or "").translate(ASCII_LOWER).encode(), 256]
+    for d, t in docs:
+        if crc_fold(d, 7) != 2:
+            train.append(symbols(t))
+            for w in words(t):
+                count[w] = count.get(w, 0) + 1
+            ends += 1
+    seen, escape = context_model(train, order)
+    total, kinds = sum(count.values()) + ends, len(count) + (ends > 0)
+    out = []
+    for d, t in docs:
+        s, score = symbols(t), 0.0
+        for i in range(order, len(s)):
+            excluded, fell = set(), False
+            for o in range(order, -1, -1):
+                all_after = seen.get(tuple(s[i - o : i]), {})
+                after = {k: c for k, c in all_after.items() if k not in excluded}
+                if after:
+                    sum_ = sum(after.values())
+                    new, every = escape.get((o, fell, *_escape_class(sum_, len(after))), (0, 0))
+                    p = (new + 0.15) / (every + 0.3)
+                    if s[i] in after:
+                        score += math.log10((1 - p) * after[s[i]] / sum_)
+                        break
+                    score += math.log10(p)
+                fell = fell or bool(all_after)
+                excluded = set(all_after)
+            else:
+                score -= math.log10(257 - len(seen.get((), {})))
+        c = [*(count.get(w, 0) for w in words(t)), ends]
+        base = sum(math.log10((x + 1) / (total + kinds + 1)) for x in c)
+        out.append((d, crc_fold(d, 7) == 2, len(c), sum(x > 0 for x in c), total, base, score))
+    return out
