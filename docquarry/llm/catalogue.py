@@ -8,6 +8,7 @@ from docquarry.llm.decontaminate import leaks
 from docquarry.llm.language_model import language_model_scores
 from docquarry.llm.mixing import mix_sources
 from docquarry.llm.near_dedup import near_duplicates
+from docquarry.llm.quality import quality
 from docquarry.llm.suffix_dedup import remove_repeats
 from docquarry.llm.toxicity import toxicity
 
@@ -16,6 +17,10 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontaminate(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,7 +71,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN k ON k.id = d.doc_id
 
 
 def queries():
-    return {"op2_decontaminate": op2_decontaminate, "op3_language_model": op3_language_model, "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op9_mix": op9_mix, "op10_near_dedup": op10_near_dedup}
+    return {"op1_quality": op1_quality, "op2_decontaminate": op2_decontaminate, "op3_language_model": op3_language_model, "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op9_mix": op9_mix, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql():
