@@ -128,3 +128,27 @@ def language_model(docs, order):
         base = sum(math.log10((x + 1) / (total + kinds + 1)) for x in c)
         out.append((d, crc_fold(d, 7) == 2, len(c), sum(x > 0 for x in c), total, base, score))
     return out
+
+
+def lz_phrases(text):
+    """Ends of the LZ78 phrases of a text, one step at a time."""
+    seen, out, i = set(), [], 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i:j] in seen:
+            j += 1
+        seen.add(text[i:j])
+        out.append(j)
+        i = j
+    return out
+
+
+def edited(docs):
+    """{doc_id: (n_chars, sha256 of the edited text, the next doc_id)} of (doc_id, text), ids unlike."""
+    docs = sorted((d, t or "") for d, t in docs)
+    out = {}
+    for i, (d, t) in enumerate(docs):
+        n, after = len(t), docs[(i + 1) % len(docs)]
+        new = t[: n - n // 2] + after[1][: n // 2]
+        out[d] = (n, hashlib.sha256(new.encode()).hexdigest(), after[0])
+    return out
