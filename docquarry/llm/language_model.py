@@ -402,21 +402,22 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     entries = keep(_trie_entries(counted), "trie")
     least = _threshold(entries, MAX_NODES)
-    nodes = entries.filter(F.col("n") >= least).select("order", "gram", "count").toPandas()
+    nodes = entries.filter(F.col("n") >= least).select(F.col("order").cast("tinyint"), "gram", "count").toArrow()
     context = F.shiftright("gram", SYMBOL_BITS).alias("context")
     cut = entries.groupBy("order", context).agg(F.sum(F.when(F.col("n") < least, F.col("count"))).alias("lost"), F.max("n").alias("top")).filter((F.col("top") >= least) & (F.col("lost") > 0))
-    lost = cut.select("order", "context", "lost").toPandas() if least > 1 else None
+    lost = cut.select("order", "context", "lost").toArrow() if least > 1 else None
     vocabulary = counted.filter(f"kind = {WORDS}")
     listed = vocabulary.mapInArrow(_words, "word long, n long")
     totals = listed.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     texts = counted.filter(f"kind = {TEXTS}").mapInArrow(_words, "word long, n long").agg(F.sum("n").alias("n")).first().n or 0
-    head = listed.filter(F.col("n") >= _threshold(listed, HEAD)).toPandas()
-    order = np.argsort(head["word"].to_numpy().astype(np.int64).view(np.uint64)) if len(head) else np.zeros(0, np.int64)
+    head = listed.filter(F.col("n") >= _threshold(listed, HEAD)).toArrow()
+    word = head["word"].to_numpy().view(np.uint64)
+    order = np.argsort(word)
     model = spark.sparkContext.broadcast({
         "uid": np.random.default_rng().integers(1 << 62),
-        "order": nodes["order"].to_numpy().astype(np.int32), "gram": nodes["gram"].to_numpy().astype(np.int64).view(np.uint64), "count": nodes["count"].to_numpy().astype(np.int64),
-        "least": least, "lost": tuple(lost[c].to_numpy() for c in lost) if least > 1 else ((), (), ()),
-        "head": head["word"].to_numpy().astype(np.int64).view(np.uint64)[order], "head_count": head["n"].to_numpy().astype(np.int64)[order],
+        "order": nodes["order"].to_numpy(), "gram": nodes["gram"].to_numpy().view(np.uint64), "count": nodes["count"].to_numpy(),
+        "least": least, "lost": tuple(c.to_numpy() for c in lost.columns) if least > 1 else ((), (), ()),
+        "head": word[order], "head_count": head["n"].to_numpy()[order],
     })
 
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
