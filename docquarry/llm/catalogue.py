@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from docquarry.llm.decontaminate import leaks
 from docquarry.llm.fingerprints import fingerprints
 from docquarry.llm.language_model import language_model_scores
+from docquarry.llm.licenses import license_matches
 from docquarry.llm.mixing import mix_sources
 from docquarry.llm.near_dedup import near_duplicates
 from docquarry.llm.quality import quality
 from docquarry.llm.suffix_dedup import remove_repeats
 from docquarry.llm.toxicity import toxicity
+from docquarry.llm.warc import archive_pages
 
 
 def table(spark, sf_dir, name):
@@ -30,10 +32,18 @@ def op3_language_model(spark, sf_dir):
     return language_model_scores(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark, sf_dir):
+    return archive_pages(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op5_fingerprints(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark, sf_dir):
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark, sf_dir):
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select(
@@ -76,7 +86,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN k ON k.id = d.doc_id
 
 
 def queries():
-    return {"op1_quality": op1_quality, "op2_decontaminate": op2_decontaminate, "op3_language_model": op3_language_model, "op5_fingerprints": op5_fingerprints, "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op9_mix": op9_mix, "op10_near_dedup": op10_near_dedup}
+    return {"op1_quality": op1_quality, "op2_decontaminate": op2_decontaminate, "op3_language_model": op3_language_model, "op4_warc": op4_warc, "op5_fingerprints": op5_fingerprints, "op6_licenses": op6_licenses, "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op9_mix": op9_mix, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql():
