@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.bytesops import LOWER, U, blocks, mix, prefix_hash, randoms, span_hash, spans
+from docquarry.llm.bytesops import LOWER, U, blocks, lean, mix, prefix_hash, randoms, span_hash, spans
 
 EDIT_RATE = 0.2
 MIN_WORDS = 5
@@ -248,7 +248,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     for ids, texts in benchmark_blocks(benchmark, item_col, item_text_col):
         index = Index(ids, texts)
         if index.ids:
-            part = docs.mapInArrow(_search(spark.sparkContext.broadcast(index)), schema)
+            part = docs.mapInArrow(lean(_search(spark.sparkContext.broadcast(index))), schema)
             out = part if out is None else out.union(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -271,5 +271,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_i
     for ids, texts in benchmark_blocks(benchmark, item_col, item_text_col):
         index = Index(ids, texts)
         if index.ids:
-            docs = docs.mapInArrow(_without(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+            docs = docs.mapInArrow(lean(_without(docs.sparkSession.sparkContext.broadcast(index))), docs.schema)
     return docs

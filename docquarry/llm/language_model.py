@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.bytesops import LOWER, U, blocks, mix, packed, prefix_hash, regroup, span_hash, words
+from docquarry.llm.bytesops import LOWER, U, blocks, lean, mix, packed, prefix_hash, regroup, span_hash, words
 from docquarry.llm.folds import held_out
 from docquarry.llm.store import keep, tasks
 
@@ -397,7 +397,7 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     n = tasks(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     train = docs.filter(~held_out("doc_id", folds, rest)).select("text")
-    counted = train.mapInArrow(_count(n), "kind int, bucket int, keys binary, counts binary")
+    counted = train.mapInArrow(lean(_count(n)), "kind int, bucket int, keys binary, counts binary")
     counted = keep(counted.groupBy("kind", "bucket").applyInArrow(_sum, "kind int, bucket int, keys binary, counts binary"), "counts")
 
     entries = keep(_trie_entries(counted), "trie")
@@ -421,10 +421,10 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     })
 
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    tail = keyed.select("key", "text").mapInArrow(_tail(model, n), "bucket int, words binary, texts binary, tf binary")
+    tail = keyed.select("key", "text").mapInArrow(lean(_tail(model, n)), "bucket int, words binary, texts binary, tf binary")
     met = tail.groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(_meet(n), "bucket int, texts binary, sums binary, known binary")
     rare = met.groupBy("bucket").applyInArrow(_by_text, "key long, tail_sum double, tail_known long")
-    scores = keyed.mapInArrow(_score(model), "doc_id long, key long, words long, head_known long, head_sum double, score double")
+    scores = keyed.mapInArrow(lean(_score(model)), "doc_id long, key long, words long, head_known long, head_sum double, score double")
     tokens, kinds = (totals.n or 0) + texts, totals.v + (texts > 0)
     floor = float(np.log10(tokens + (kinds + 1)))
     n_tokens = F.col("words") + 1

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.bytesops import LOWER, U, blocks, mix, packed, prefix_hash, randoms, shingles, span_hash, words
+from docquarry.llm.bytesops import LOWER, U, blocks, lean, mix, packed, prefix_hash, randoms, shingles, span_hash, words
 from docquarry.llm.graph import components
 from docquarry.llm.store import keep
 
@@ -160,12 +160,12 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, perce
     able = pairs.filter("ca <> cb").filter(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sig = reps.select("id", "sig")
     close = able.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    close = keep(close.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"), "close")
+    close = keep(close.select("a", "b", "sa", "sb").mapInArrow(lean(_alike), "a long, b long"), "close")
     ids = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
     texts = docs.join(reps.select("id", "set_a", "set_b").join(ids, "id"), "id").select("id", "set_a", "set_b", "text")
-    sets = keep(texts.mapInArrow(_sets(width), "id long, members binary"), "sets")
+    sets = keep(texts.mapInArrow(lean(_sets(width)), "id long, members binary"), "sets")
     both = close.join(sets.select(F.col("id").alias("a"), F.col("members").alias("xs")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("ys")), "b")
-    return keep(both.select("a", "b", "xs", "ys").mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
+    return keep(both.select("a", "b", "xs", "ys").mapInArrow(lean(_confirm(percent)), "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -181,11 +181,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = keep(docs.mapInArrow(_sketch(width), "id long, set_a long, set_b long, n long, sig binary"), "sketch")
+    sketch = keep(docs.mapInArrow(lean(_sketch(width)), "id long, set_a long, set_b long, n long, sig binary"), "sketch")
     some = sketch.filter("n > 0 and id is not null")
     reps = keep(some.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "n", "sig")).alias("r")).select("r.*", "set_a", "set_b"), "reps")
 
-    rows = keep(reps.select("id", "n", "sig").mapInArrow(_first_level, "node long, id long, n long"), "nodes").withColumn("comp", F.col("id"))
+    rows = keep(reps.select("id", "n", "sig").mapInArrow(lean(_first_level), "node long, id long, n long"), "nodes").withColumn("comp", F.col("id"))
     pairs, large = _meet(rows)
     links = _links(pairs, reps, docs, width, percent)
     stars = components(links).select(F.col("id").alias("a"), F.col("component").alias("b"))
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             mixed = large.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("node")
             large = large.join(mixed, "node", "left_semi")
         children = large.join(reps.select("id", "sig").dropDuplicates(["id"]), "id").select("node", "id", "n", "comp", "sig")
-        rows = keep(children.mapInArrow(_next_level, "node long, id long, n long, comp long"), "nodes")
+        rows = keep(children.mapInArrow(lean(_next_level), "node long, id long, n long, comp long"), "nodes")
         pairs, large = _meet(rows)
         large = keep(large, "large")
         found = pairs if found is None else found.union(pairs)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.bytesops import LOWER, SPACE, blocks, packed, prefix_hash, shingles, span_hash, words
+from docquarry.llm.bytesops import LOWER, SPACE, blocks, lean, packed, prefix_hash, shingles, span_hash, words
 from docquarry.llm.folds import held_out
 from docquarry.llm.store import keep
 
@@ -199,7 +199,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = keep(docs.mapInArrow(_describe, "doc_id long, f binary"), "statistics")
+    described = keep(docs.mapInArrow(lean(_describe), "doc_id long, f binary"), "statistics")
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
     half = (F.xxhash64("doc_id").bitwiseAND(1)).cast("int").alias("half")
     train = keep(described.join(known.filter(~held_out("doc_id", 5, 0)), "doc_id").select("f", "y", half), "training")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.bytesops import U, blocks, column, mix, packed, prefix_hash, regroup, span_hash
+from docquarry.llm.bytesops import U, blocks, column, lean, mix, packed, prefix_hash, regroup, span_hash
 from docquarry.llm.loser_tree import front_decode, merge
 from docquarry.llm.store import keep, tasks
 
@@ -280,44 +280,44 @@ def _settle(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(ids[at]), "spans": packed(spans, 2 * np.append(at, len(ids)))})
 
 
-def _cut(batches):
-    """(doc_id, text, spans, ...) -> doc_id, n_bytes, the maximal removed runs, the bytes that stay, ..."""
-    run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for batch in batches:
-        ids, lists = batch.column(0), batch.column(2)
-        for lo, hi, data, offsets in blocks(batch.column(1)):
-            n_bytes, removed, kept = [], [], []
-            for i, x in enumerate(lists.slice(lo, hi - lo).to_pylist()):
-                text = data[offsets[i] : offsets[i + 1]]
-                n_bytes.append(len(text))
-                if not x:
-                    removed.append([])
-                    kept.append(text.tobytes())
-                    continue
-                s = np.minimum(np.frombuffer(b"".join(x), np.uint32).reshape(-1, 2).astype(np.int64), len(text))
-                depth = np.zeros(len(text) + 1, np.int32)
-                np.add.at(depth, s[:, 0], 1)
-                np.add.at(depth, s[:, 1], -1)
-                gone = np.cumsum(depth[:-1]) > 0
-                edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
-                removed.append([{"start": a, "end": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)])
-                kept.append(text[~gone].tobytes())
-            made = [ids.slice(lo, hi - lo), pa.array(n_bytes, pa.int64()), pa.array(removed, run), pa.array(kept, pa.binary())]
-            rest = [c.slice(lo, hi - lo) for c in batch.columns[3:]]
-            yield pa.RecordBatch.from_arrays([*made, *rest], ["doc_id", "n_bytes", "removed", "kept", *batch.schema.names[3:]])
-
-
-def _as_text(batches):
-    """Appends kept_text: the whole code points of kept."""
-    for batch in batches:
-        text = [x.as_py().decode("utf-8", "ignore") for x in batch.column(batch.schema.get_field_index("kept"))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*batch.schema.names, "kept_text"])
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def _cut(as_text: bool):
+    """(doc_id, text, spans, ...) -> doc_id, n_bytes, the maximal removed runs, what stays (bytes, or whole code points as text), ..."""
+    run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches):
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(2)
+            for lo, hi, data, offsets in blocks(batch.column(1)):
+                n_bytes, removed, kept = [], [], []
+                for i, x in enumerate(lists.slice(lo, hi - lo).to_pylist()):
+                    text = data[offsets[i] : offsets[i + 1]]
+                    n_bytes.append(len(text))
+                    if not x:
+                        removed.append([])
+                        kept.append(text.tobytes())
+                        continue
+                    s = np.minimum(np.frombuffer(b"".join(x), np.uint32).reshape(-1, 2).astype(np.int64), len(text))
+                    depth = np.zeros(len(text) + 1, np.int32)
+                    np.add.at(depth, s[:, 0], 1)
+                    np.add.at(depth, s[:, 1], -1)
+                    gone = np.cumsum(depth[:-1]) > 0
+                    edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
+                    removed.append([{"start": a, "end": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)])
+                    kept.append(text[~gone].tobytes())
+                    if as_text:
+                        kept[-1] = kept[-1].decode("utf-8", "ignore").encode()
+                made = [ids.slice(lo, hi - lo), pa.array(n_bytes, pa.int64()), pa.array(removed, run_type), pa.array(kept, pa.string() if as_text else pa.binary())]
+                rest = [c.slice(lo, hi - lo) for c in batch.columns[3:]]
+                yield pa.RecordBatch.from_arrays([*made, *rest], ["doc_id", "n_bytes", "removed", "kept", *batch.schema.names[3:]])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, removed (array of start, end), kept (binary): one row for each row of docs.
 
-    Columns named in carry follow under c0, c1, ...
+    Columns named in carry follow under c0, c1, ... With as_text, kept is the
+    text of the code points that stay whole.
 
     Removed is each byte covered by a LENGTH-byte string that also starts
     earlier: in a text of smaller id, or earlier in the same text. Matches do
@@ -337,20 +337,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = ids.groupBy("digest").agg(F.min("id").alias("first"), F.min("key").alias("key"))
 
     found = docs.filter(f"id is not null and octet_length(text) >= {LENGTH}").select(F.xxhash64("text").alias("key"), "text")
-    found = found.mapInArrow(_anchor_rows(n), "bucket int, h binary, key binary, pos binary")
+    found = found.mapInArrow(lean(_anchor_rows(n)), "bucket int, h binary, key binary, pos binary")
     twice = found.groupBy("bucket").applyInArrow(_repeated, "key long, places binary")
     twice = twice.groupBy("key").agg(F.collect_list("places").alias("places"))
     sought = twice.join(firsts, "key").select(F.col("first").alias("id"), "digest", "places")
     texts = docs.join(sought, ["id", "digest"]).select("id", "places", "text")
-    runs = texts.mapInArrow(_runs(n), "bucket int, lcps binary, tails binary, counts binary, ids binary, pos binary")
+    runs = texts.mapInArrow(lean(_runs(n)), "bucket int, lcps binary, tails binary, counts binary, ids binary, pos binary")
     spans = runs.groupBy("bucket").applyInArrow(_settle, "id long, spans binary")
 
     copies = ids.join(firsts.select("digest", "first"), "digest").filter("id <> first")
     little = F.expr("transform(array(7, 5, 3, 1), i -> substring(lpad(hex(n), 8, '0'), i, 2))")
     whole = copies.groupBy("id").agg(F.max("n").alias("n")).select("id", F.unhex(F.concat(F.lit("00000000"), F.array_join(little, ""))).alias("spans"))
     spans = keep(spans.union(whole).groupBy("id").agg(F.collect_list("spans").alias("spans")), "spans")
-    made = T._parse_datatype_string("doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
-    return docs.join(spans, "id", "left").select("id", "text", "spans", *rest).mapInArrow(_cut, T.StructType([*made.fields, *docs.select(*rest).schema.fields]))
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    made = [T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(span)), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
+    return docs.join(spans, "id", "left").select("id", "text", "spans", *rest).mapInArrow(lean(_cut(as_text)), T.StructType([*made, *docs.select(*rest).schema.fields]))
 
 
 def with_repeats_cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
@@ -361,10 +362,9 @@ def with_repeats_cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     goes; a null text becomes empty.
     """
     rest = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    cut = remove_repeats(docs, id_col, text_col, rest)
-    cut = cut.drop("removed", "n_bytes").mapInArrow(_as_text, T.StructType([f for f in cut.schema.fields if f.name not in ("removed", "n_bytes")] + [T.StructField("kept_text", T.StringType())]))
+    cut = remove_repeats(docs, id_col, text_col, rest, as_text=True)
     types = dict(docs.dtypes)
-    own = {id_col: F.col("doc_id").cast(types[id_col]), text_col: F.col("kept_text")} | {c: F.col(f"c{i}") for i, c in enumerate(rest)}
+    own = {id_col: F.col("doc_id").cast(types[id_col]), text_col: F.col("kept")} | {c: F.col(f"c{i}") for i, c in enumerate(rest)}
     if chars_col in rest:
-        own[chars_col] = F.length("kept_text").cast(types[chars_col])
+        own[chars_col] = F.length("kept").cast(types[chars_col])
     return cut.select(*(own[c].alias(c) for c in docs.columns))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.bytesops import U, blocks, prefix_hash, span_hash
+from docquarry.llm.bytesops import U, blocks, lean, prefix_hash, span_hash
 from docquarry.llm.decontaminate import word_spans
 from docquarry.llm.folds import held_out, training_sample
 
@@ -159,7 +159,7 @@ def _match(batches):
 
 def pattern_counts(rows: DataFrame) -> DataFrame:
     """rows, which have a text, with f: the matches of each of PATTERNS."""
-    return rows.mapInArrow(_match, T.StructType([*rows.schema.fields, T.StructField("f", T.ArrayType(T.IntegerType()))]))
+    return rows.mapInArrow(lean(_match), T.StructType([*rows.schema.fields, T.StructField("f", T.ArrayType(T.IntegerType()))]))
 
 
 def _inputs(f: np.ndarray) -> np.ndarray:
