@@ -1 +1 @@
-
+"""Operators over pages, chunks, vectors, hits and answers."""

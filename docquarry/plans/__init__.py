@@ -1 +1 @@
-
+"""Plans that put the operators together."""

@@ -1 +1 @@
-
+"""Where documents and questions come from."""
