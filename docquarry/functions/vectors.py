@@ -17,5 +17,6 @@ def norm(a: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """a scaled to length 1; a zero vector stays zero."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: (x.cast("double") / n).cast("float"))).otherwise(a)
+    # the length is bound by an outer lambda, so that it is computed once
+    scaled = F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: (x.cast("double") / n).cast("float"))).otherwise(a))
+    return F.element_at(scaled, 1)

@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docquarry.config import Config
 from docquarry.functions.text import SPACES, collapse
-from docquarry.functions.vectors import normalised
 
 
 class Embedder(Protocol):
@@ -41,13 +42,29 @@ class HashedEmbedder:
         words = F.filter(F.split(F.lower(collapse(F.coalesce(text, F.lit("")))), SPACES), lambda w: F.length(w) > 0)
         return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % self.dimension).cast("int"))
 
-    def counts(self, text: Column) -> Column:
-        """How many words fall into each bucket."""
-        own = self.buckets(text)
-        return F.transform(F.sequence(F.lit(0), F.lit(self.dimension - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)))
+    def counts(self, text: Column, unit: bool = False) -> Column:
+        """How many words fall into each bucket, scaled to length 1 if `unit`.
+
+        Words are hashed by SQL expressions; Arrow batches spread them out.
+        """
+
+        dimension = self.dimension
+
+        @F.pandas_udf("array<float>")
+        def spread(buckets: pd.Series) -> pd.Series:
+            out = np.zeros((len(buckets), dimension), np.float32)
+            rows = np.repeat(np.arange(len(buckets)), buckets.map(len).to_numpy(dtype=np.int64))
+            if len(rows):
+                np.add.at(out, (rows, np.concatenate(buckets.to_list()).astype(np.int64)), 1)
+            if unit:
+                length = np.sqrt((out.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+                out = (out / np.where(length > 0, length, 1)).astype(np.float32)
+            return pd.Series(list(out))
+
+        return spread(self.buckets(text))
 
     def column(self, text: Column) -> Column:
-        return normalised(F.transform(self.counts(text), lambda x: x.cast("float")))
+        return self.counts(text, unit=True)
 
 
 _models: dict[str, object] = {}
@@ -70,7 +87,6 @@ class NeuralEmbedder:
         self.dimension = int(_model(name).get_sentence_embedding_dimension())
 
     def column(self, text: Column) -> Column:
-        import pandas as pd
 
         name = self.name
 

@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,7 +97,6 @@ class Gemini:
         return reply.text.strip()
 
     def column(self, prompt: Column, chunks: Column) -> Column:
-        import pandas as pd
 
         generate = self.generate
 

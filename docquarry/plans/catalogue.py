@@ -133,8 +133,8 @@ def _hits(spark, sf_dir, k: int = Config.top_k):
     """Benchmark passages as questions over all chunks; counts are whole numbers, so that scores are exact."""
     e = HashedEmbedder()
     chunked = chunk_pages(paged(_docs(spark, sf_dir)))
-    index = chunked.select("doc_id", "chunk_id", "page_number", "text", e.counts(F.col("text")).cast("array<float>").alias("embedding"))
-    asked = _asked(spark, sf_dir).select("qid", e.counts(F.col("question")).cast("array<float>").alias("embedding"))
+    index = chunked.select("doc_id", "chunk_id", "page_number", "text", e.counts(F.col("text")).alias("embedding"))
+    asked = _asked(spark, sf_dir).select("qid", e.counts(F.col("question")).alias("embedding"))
     return search(index, asked, k, ["doc_id", "chunk_id"], "arrow", scale=True)
 
 
