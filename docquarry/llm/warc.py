@@ -134,9 +134,10 @@ def _responses(date: str):
     def run(batches):
         for batch in batches:
             out = []
-            for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                payload = (html or "").encode()
-                out.append(record("response", uuid.uuid4().urn, page_id, url, date, digest(payload), len(payload), payload).decode())
+            columns = batch.column(0), batch.column(1), batch.column(2).cast(pa.binary())
+            for page_id, url, html in zip(*(c.to_pylist() for c in columns), strict=True):
+                payload = html or b""
+                out.append(record("response", uuid.uuid4().urn, page_id, url, date, digest(payload), len(payload), payload))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record"])
 
     return run
@@ -160,7 +161,7 @@ def _renewed(date: str):
                     made = record("response", *own, payload=r["payload"])
                 else:
                     made = record("revisit", *own, refers=first | {"record_id": fresh_id(first["record_id"]), "date": date})
-                out.append(made.decode())
+                out.append(made)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record"])
 
     return run
