@@ -33,11 +33,11 @@ WIDTH = 5
 PERCENT = 75
 POSITIONS = 64
 TREES = 16
-#: Nodes of up to LEAF members are compared exhaustively.
-LEAF = 16
-#: Below the first level, a document in a large node goes to BRANCH children, down to DEPTH levels.
+#: Nodes of up to LEAF members are compared exhaustively; below WIDE levels, of up to DEEP_LEAF.
+LEAF, DEEP_LEAF = 16, 64
+#: Below the first level, a document in a large node goes to BRANCH children, below WIDE levels to one, down to DEPTH.
 BRANCH = 2
-DEPTH = 4
+WIDE, DEPTH = 4, 10
 #: Of POSITIONS minwise tokens, a pair at the threshold shares 48 +- 3.5; fewer than this at 3e-6.
 LEAST_SHARED = 32
 
@@ -99,25 +99,29 @@ def _first_level(batches):
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("id"), batch.column("n")], ["node", "id", "n"])
 
 
-def _next_level(batches):
+def _next_level(branch: int):
     """(node, id, n, comp, sig) -> its children: the path so far selects the positions."""
-    for batch in batches:
-        sig = _signatures(batch.column("sig"))
-        node = np.asarray(batch.column("node")).view(np.uint64)
-        for s in range(BRANCH):
-            at = (mix(node ^ _SLOT[s]) >> U(32)) % U(POSITIONS)
-            token = sig[np.arange(len(sig)), at.astype(np.int64)].astype(np.uint64)
-            child = mix(mix(node + _SLOT[s]) ^ token)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(batch.column(c) for c in ("id", "n", "comp"))], ["node", "id", "n", "comp"])
+
+    def run(batches):
+        for batch in batches:
+            sig = _signatures(batch.column("sig"))
+            node = np.asarray(batch.column("node")).view(np.uint64)
+            for s in range(branch):
+                at = (mix(node ^ _SLOT[s]) >> U(32)) % U(POSITIONS)
+                token = sig[np.arange(len(sig)), at.astype(np.int64)].astype(np.uint64)
+                child = mix(mix(node + _SLOT[s]) ^ token)
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(batch.column(c) for c in ("id", "n", "comp"))], ["node", "id", "n", "comp"])
+
+    return run
 
 
-def _meet(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _meet(rows: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
     """(candidate pairs, rows of large nodes) of rows (node, id, n, comp); nodes of one component vanish."""
     nodes = rows.groupBy("node").agg(F.count("*").alias("c"), F.min(F.struct("id", "n", "comp")).alias("rep"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     met = rows.join(nodes.filter("c > 1 and lo <> hi").select("node", "c", "rep"), "node")
-    small = met.filter(F.col("c") <= LEAF).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("id", "n", "comp"))).alias("m"))
+    small = met.filter(F.col("c") <= leaf).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("id", "n", "comp"))).alias("m"))
     every = F.expr("inline(flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.id as a, x.n as na, x.comp as ca, y.id as b, y.n as nb, y.comp as cb)))))")
-    large = met.filter(F.col("c") > LEAF)
+    large = met.filter(F.col("c") > leaf)
     star = large.select(F.col("rep.id").alias("a"), F.col("rep.n").alias("na"), F.col("rep.comp").alias("ca"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     return small.select(every).union(star), large.select("node", "id", "n", "comp")
 
@@ -193,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     large = keep(large.drop("comp"), "large")
     found = None
-    for _ in range(1, DEPTH):
+    for level in range(2, DEPTH + 1):
         if large.isEmpty():
             break
         # only nodes that still hold several components branch
@@ -202,8 +206,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             mixed = large.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("node")
             large = large.join(mixed, "node", "left_semi")
         children = large.join(reps.select("id", "sig").dropDuplicates(["id"]), "id").select("node", "id", "n", "comp", "sig")
-        rows = keep(children.mapInArrow(lean(_next_level), "node long, id long, n long, comp long"), "nodes")
-        pairs, large = _meet(rows)
+        rows = keep(children.mapInArrow(lean(_next_level(BRANCH if level <= WIDE else 1)), "node long, id long, n long, comp long"), "nodes")
+        pairs, large = _meet(rows, LEAF if level <= WIDE else DEEP_LEAF)
         large = keep(large, "large")
         found = pairs if found is None else found.union(pairs)
     if found is not None:
