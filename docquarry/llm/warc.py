@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.llm.bytesops import lean
 from docquarry.llm.store import new_path
 
 #: Payloads of fewer bytes are never revisits.
@@ -119,7 +120,7 @@ def _read(with_payload: bool):
 def read_archive(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """The records of an archive: their headers and, if asked for, payloads (empty for revisits)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(_read(with_payload), _HEADER + ", payload binary" * with_payload)
+    return files.mapInArrow(lean(_read(with_payload)), _HEADER + ", payload binary" * with_payload)
 
 
 def write_archive(records: DataFrame, path: str) -> str:
@@ -128,11 +129,18 @@ def write_archive(records: DataFrame, path: str) -> str:
     return path
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: payloads are held as Python bytes, once as read and once as written."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _responses(date: str):
     """(page_id, url, html) -> a response record of each."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             columns = batch.column(0), batch.column(1), batch.column(2).cast(pa.binary())
             for page_id, url, html in zip(*(c.to_pylist() for c in columns), strict=True):
@@ -152,7 +160,7 @@ def _renewed(date: str):
     """(header columns, payload, first) -> the record with fresh headers; a revisit if first is another record."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for r in batch.to_pylist():
                 first = r["first"]
@@ -170,7 +178,7 @@ def _renewed(date: str):
 def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> str:
     """An archive with a response record for each row of pages."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return write_archive(rows.mapInArrow(_responses(date), "record string"), path)
+    return write_archive(rows.mapInArrow(lean(_responses(date)), "record string"), path)
 
 
 def deduplicate(spark: SparkSession, path: str, to: str, min_bytes: int = MIN_BYTES, date: str = DATE) -> str:
@@ -186,7 +194,7 @@ def deduplicate(spark: SparkSession, path: str, to: str, min_bytes: int = MIN_BY
     firsts = able.groupBy("payload_digest", "payload_bytes").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
     decided = able.join(firsts, ["payload_digest", "payload_bytes"]).select("record_id", F.struct("first.record_id", "first.page_id", "first.url").alias("first"))
     records = read_archive(spark, path, True).join(decided, "record_id", "left")
-    return write_archive(records.select("record_id", "page_id", "url", "payload_digest", "payload_bytes", "payload", "first").mapInArrow(_renewed(date), "record string"), to)
+    return write_archive(records.select("record_id", "page_id", "url", "payload_digest", "payload_bytes", "payload", "first").mapInArrow(lean(_renewed(date)), "record string"), to)
 
 
 def resolved(spark: SparkSession, path: str) -> DataFrame:
