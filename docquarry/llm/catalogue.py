@@ -70,6 +70,29 @@ def op10_near_dedup(spark, sf_dir):
 #: DuckDB: the words of a text, A-Z lower-cased.
 WORDS = """list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"""
 
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY sha1(h), strlen(h)) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+OP7_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT doc_id, i, md5(substr(h, (2 * i + 1)::INT, 200)) AS g FROM (SELECT doc_id, h, unnest(range(n - 99)) AS i FROM t WHERE n >= 100)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM s) WHERE k > 1),
+m AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) > 100 AS fresh FROM r),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m) GROUP BY doc_id, k),
+kept AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list(struct_pack(a := a, b := b) ORDER BY a) AS l FROM runs GROUP BY doc_id),
+cut AS (SELECT t.doc_id, n, h, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, l FROM t LEFT JOIN kept USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN l IS NULL THEN h ELSE array_to_string(list_transform(range(len(l) + 1), lambda i:
+    substr(h, (2 * CASE WHEN i = 0 THEN 0 ELSE l[i].b END + 1)::INT, (2 * (CASE WHEN i = len(l) THEN n ELSE l[i + 1].a END - CASE WHEN i = 0 THEN 0 ELSE l[i].b END))::INT)), '') END)) AS kept_sha256
+FROM cut
+"""
+
 OP10_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -90,4 +113,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op10_near_dedup": OP10_SQL}
+    return {"op4_warc": OP4_SQL, "op7_suffix_dedup": OP7_SQL, "op10_near_dedup": OP10_SQL}
