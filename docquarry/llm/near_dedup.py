@@ -37,7 +37,7 @@ TREES = 16
 LEAF, DEEP_LEAF = 16, 64
 #: Below the first level, a document in a large node goes to BRANCH children, below WIDE levels to one, down to DEPTH.
 BRANCH = 2
-WIDE, DEPTH = 4, 10
+WIDE, DEPTH = 4, 4
 #: Of POSITIONS minwise tokens, a pair at the threshold shares 48 +- 3.5; fewer than this at 3e-6.
 LEAST_SHARED = 32
 
