@@ -18,6 +18,7 @@ from docquarry.config import SUPPORTED, Config
 from docquarry.errors import DocumentProcessingError
 from docquarry.functions.text import suffix
 from docquarry.operators.paginate import pages_of_paragraphs, solid, table_row
+from docquarry.schemas import UPLOAD
 from docquarry.sources import docx, pdf
 
 EMPTY = "The file is empty."
@@ -128,7 +129,7 @@ def _single(spark: SparkSession, content: bytes, filename: str) -> DataFrame:
     extension = os.path.splitext(filename)[1].lower()
     if extension not in SUPPORTED:
         raise ValueError(unsupported(extension))
-    files = spark.createDataFrame([(filename, filename, bytearray(content))], "doc_id string, filename string, content binary")
+    files = spark.createDataFrame([(filename, filename, bytearray(content))], UPLOAD)
     pages, errors = load_documents(files)
     for e in errors.collect():
         raise DocumentProcessingError(e.message) if e.message in (CORRUPT, UNREADABLE) else ValueError(e.message)
