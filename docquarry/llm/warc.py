@@ -125,7 +125,7 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
 
 def write_archive(records: DataFrame, path: str) -> str:
     """Write rows of one column, record (string), as an archive."""
-    records.select("record").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.select("record").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "THREE").option("maxRecordsPerFile", FILE_RECORDS).text(path)
     return path
 
 
