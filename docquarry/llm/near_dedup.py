@@ -11,7 +11,10 @@ A large family of near copies never falls apart into small nodes. So the first
 level's links (within small nodes, and of every member of a large node to its
 least member) are confirmed and joined into components first; after that, only
 nodes with members of different components branch further, and only pairs of
-different components are candidates. No pair is skipped that could change a
+different components are candidates. Nodes that are still large and mixed at the
+last level are finished exactly: nodes that share members form a group, and all
+pairs of a group's members in different components are compared on their full
+shingle sets, in blocks of bounded size. No pair is skipped that could change a
 component.
 """
 
@@ -38,6 +41,8 @@ LEAF, DEEP_LEAF = 16, 64
 #: Below the first level, a document in a large node goes to BRANCH children, below WIDE levels to one, down to DEPTH.
 BRANCH = 2
 WIDE, DEPTH = 4, 4
+#: Blocks of groups that are finished exactly: members, and shingles of all members. Shingles that are counted at once.
+MEMBERS, SHINGLES, SLAB = 2048, 1 << 21, 4096
 #: Of POSITIONS minwise tokens, a pair at the threshold shares 48 +- 3.5; fewer than this at 3e-6.
 LEAST_SHARED = 32
 
@@ -159,15 +164,105 @@ def _confirm(percent: int):
     return run
 
 
+def _members(ids: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, members): the full shingle sets of ids."""
+    texts = docs.join(reps.select("id", "set_a", "set_b").join(ids, "id"), "id").select("id", "set_a", "set_b", "text")
+    return keep(texts.mapInArrow(lean(_sets(width)), "id long, members binary"), "sets")
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of left shares with each of right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    x, y = np.concatenate(left), np.concatenate(right)
+    shared = np.intersect1d(x, y)
+    at = []
+    for sets, flat in ((left, x), (right, y)):
+        of, where = np.repeat(np.arange(len(sets)), [len(m) for m in sets]), np.searchsorted(shared, flat)
+        ok = shared[np.minimum(where, len(shared) - 1)] == flat if len(shared) else np.zeros(len(flat), bool)
+        of, where = of[ok], where[ok]
+        order = np.argsort(where, kind="stable")
+        at.append((len(sets), of[order], where[order]))
+    for lo in range(0, len(shared), SLAB):
+        slabs = []
+        for n, of, where in at:
+            a, b = np.searchsorted(where, (lo, lo + SLAB))
+            slab = np.zeros((n, min(SLAB, len(shared) - lo)), np.float32)
+            slab[of[a:b], where[a:b] - lo] = 1
+            slabs.append(slab)
+        out += slabs[0] @ slabs[1].T
+    return out
+
+
+def _forest(near: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges of near (a symmetric matrix) that connect what all its edges connect."""
+    left = np.ones(len(near), bool)
+    for root in range(len(near)):
+        if not left[root]:
+            continue
+        left[root] = False
+        todo = [root]
+        while todo:
+            at = todo.pop()
+            new = np.flatnonzero(near[at] & left)
+            left[new] = False
+            todo += new.tolist()
+            yield from ((at, x) for x in new.tolist())
+
+
+def _finish(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Two blocks of a group, or one that is met with itself: links between different components."""
+        side, ids, comp = (table[c].to_numpy() for c in ("side", "id", "comp"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["members"]]
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        l, r = np.flatnonzero(side == i), np.flatnonzero(side == j)  # noqa: E741
+        links = []
+        if len(l) and len(r) and len(np.unique(comp)) > 1:
+            n = np.array([len(m) for m in sets])
+            common = _common([sets[x] for x in l], [sets[x] for x in r]).astype(np.int64)
+            ok = (100 * common >= percent * (n[l][:, None] + n[r] - common)) & (comp[l][:, None] != comp[r])
+            near = np.zeros((len(ids), len(ids)), bool)
+            near[np.ix_(l, r)] = ok
+            links = [(ids[a], ids[b]) for a, b in _forest(near | near.T)]
+        a, b = (np.array([x[k] for x in links], np.int64) for k in (0, 1))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _finished(large: DataFrame, stars: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links that decide what the mixed nodes of large (node, id) connect; None where none is mixed.
+
+    A group's largest component is not compared with itself: its blocks meet those of the others only.
+    """
+    rows = large.select("node", "id").join(stars.select(F.col("a").alias("id"), F.col("b").alias("c")), "id", "left").select("node", "id", F.coalesce("c", "id").alias("comp"))
+    mixed = rows.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("least")).filter("lo <> hi")
+    rows = keep(rows.join(mixed.select("node", "least"), "node").select("least", "id", "comp").distinct(), "mixed")
+    if rows.isEmpty():
+        return None
+    groups = components(rows.select(F.col("least").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "grp")
+    sets = _members(rows.select("id").distinct(), reps, docs, width)
+    own = rows.select("id", "comp").distinct().join(groups, "id").join(sets.select("id", (F.octet_length("members") / 8).cast("long").alias("n")).groupBy("id").agg(F.sum("n").alias("n")), "id")
+    most = own.groupBy("grp", "comp").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max(F.struct("c", "comp")).alias("m")).select("grp", F.col("m.comp").alias("most"))
+    own = own.join(most, "grp").withColumn("major", F.col("comp") == F.col("most")).drop("most")
+    blocks_of = own.groupBy("grp").agg(*(F.greatest(F.lit(1), F.ceil(F.greatest(F.count(F.when(c, 1)) / MEMBERS, F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) / SHINGLES))).cast("long").alias(k) for c, k in ((~F.col("major"), "minor_blocks"), (F.col("major"), "major_blocks"))))
+    own = own.join(blocks_of, "grp")
+    # blocks 0 .. minor_blocks - 1 are of the others, those after them of the largest component
+    side = F.when(F.col("major"), F.col("minor_blocks") + F.pmod(F.xxhash64("id"), F.col("major_blocks"))).otherwise(F.pmod(F.xxhash64("id"), F.col("minor_blocks")))
+    own = own.withColumn("side", side)
+    meets = F.explode(F.expr("if(major, sequence(0L, minor_blocks - 1), sequence(0L, minor_blocks + major_blocks - 1))"))
+    placed = own.withColumn("other", meets).select("grp", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "comp").join(sets, "id")
+    found = placed.groupBy("grp", "i", "j").applyInArrow(_finish(percent), "a long, b long")
+    return keep(found.distinct(), "links")
+
+
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The candidate pairs that hold on their full shingle sets."""
     able = pairs.filter("ca <> cb").filter(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sig = reps.select("id", "sig")
     close = able.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     close = keep(close.select("a", "b", "sa", "sb").mapInArrow(lean(_alike), "a long, b long"), "close")
-    ids = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(reps.select("id", "set_a", "set_b").join(ids, "id"), "id").select("id", "set_a", "set_b", "text")
-    sets = keep(texts.mapInArrow(lean(_sets(width)), "id long, members binary"), "sets")
+    sets = _members(close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct(), reps, docs, width)
     both = close.join(sets.select(F.col("id").alias("a"), F.col("members").alias("xs")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("ys")), "b")
     return keep(both.select("a", "b", "xs", "ys").mapInArrow(lean(_confirm(percent)), "a long, b long").distinct(), "links")
 
@@ -214,6 +309,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = _links(found, reps, docs, width, percent)
         if not more.isEmpty():
             stars = keep(components(stars.union(more)).select(F.col("id").alias("a"), F.col("component").alias("b")), "stars")
+        rest = _finished(large, stars, reps, docs, width, percent)
+        if rest is not None and not rest.isEmpty():
+            stars = keep(components(stars.union(rest)).select(F.col("id").alias("a"), F.col("component").alias("b")), "stars")
 
     classes = reps.select(F.col("id").alias("rep"), "set_a", "set_b").join(stars.select(F.col("a").alias("rep"), F.col("b").alias("c")), "rep", "left")
     classes = classes.select("set_a", "set_b", F.coalesce("c", "rep").alias("component_id"))

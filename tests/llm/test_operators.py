@@ -75,6 +75,30 @@ def test_near_duplicates_in_large_groups(spark):
     assert got == brute.near_duplicates(docs)
 
 
+def test_near_duplicates_of_an_original_with_the_largest_id(spark):
+    """Copies link to their original, and not to each other."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choices(words, k=200)
+    docs = []
+    for i in range(400):
+        w = base.copy()
+        for at in rng.sample(range(2, 198, 5), 5):
+            w[at] = f"edit{i}x{at}"
+        docs.append((i, " ".join(w)))
+    docs.append((1000, " ".join(base)))
+    want = brute.near_duplicates(docs)
+    assert {c for _, c in want.values()} == {0}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(table(spark, docs)).collect()}
+    assert got == want
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    for name, value in (("MEMBERS", 7), ("SHINGLES", 900), ("SLAB", 50)):
+        monkeypatch.setattr(near_dedup, name, value)
+    test_near_duplicates_of_an_original_with_the_largest_id(spark)
+
+
 def test_components(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 90)], "a long, b long")
     assert {r.id: r.component for r in components(path).collect()} == {i: 0 for i in range(41)} | {90: 90, 100: 90}
