@@ -14,11 +14,12 @@ their number of symbols; a class escapes as often as an occurrence that is left
 out of its context's counts would have been new there.
 
 Counts cover all training texts: tasks count their distinct grams, and buckets
-of grams are summed. The trie that is sent out has at most MAX_NODES entries,
-those of the most occurrences, which is a size of the model. Since what is seen
-after a context is seen after its suffixes, the total that an exclusion takes
-away is one number for each context, and whole blocks of text are coded by
-table look-ups.
+of grams are summed. The whole trie is the model. Contexts of fewer than LOW
+symbols go to every task; the others are dealt to buckets by their last LOW
+symbols, so that a bucket holds all that its contexts need, and what escapes are
+learned from adds up over buckets. The probabilities of at most MAX_NODES
+frequent grams are sent out, and texts look them up; their other grams meet the
+trie by bucket.
 
 The unigram base needs the counts of every word: those of at most HEAD frequent
 words are sent out; the others are met by hash bucket.
@@ -38,13 +39,17 @@ from docquarry.llm.folds import held_out
 from docquarry.llm.store import keep, tasks
 
 ORDER = 5
+#: Grams whose probabilities are sent out; the others are met by bucket, with the same result.
 MAX_NODES = 1 << 21
+LOW = 3
 HEAD = 1 << 17
 #: Distinct keys that a task holds before it sends them on.
 HELD = 1 << 20
 SYMBOL_BITS = 9
 END, START, ALPHABET = 256, 257, 257
 GRAMS, WORDS, TEXTS = 0, 1, 2
+#: Classes that escapes are pooled by.
+CLASSES = 61 * 64
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,13 +172,14 @@ def _threshold(counted: DataFrame, most: int) -> int:
 
 class Trie:
     """The context counts, by order: sorted grams (context, then symbol) with counts, and of each context
-    its total, its number of symbols, and what these symbols count one order below. `lost` gives what
-    contexts (order, context) have lost to the bound on entries; `least` is the least count that is kept.
+    its total, its number of symbols, and what these symbols count one order below. `escape` gives escape
+    probabilities by (order, after an escape) and class. A part of the whole trie will do for grams whose
+    suffixes, with all that follows their contexts, are in it.
     """
 
-    def __init__(self, order: np.ndarray, gram: np.ndarray, count: np.ndarray, lost: tuple = ((), (), ()), least: int = 1):
+    def __init__(self, order: np.ndarray, gram: np.ndarray, count: np.ndarray, escape: dict | None = None):
         self.gram, self.count, self.context, self.total, self.kinds, self.excluded = [], [], [], [], [], []
-        node = []
+        self.escape, self.node = escape, []
         for o in range(ORDER + 1):
             own = order == o
             at = np.argsort(gram[own])
@@ -188,54 +194,30 @@ class Trie:
             self.kinds.append(add(np.ones(len(g))))
             below = self._find(self.gram[o - 1], g & U((1 << SYMBOL_BITS * o) - 1))[0] if o and len(g) else np.zeros(len(g), np.int64)
             self.excluded.append(add(self.count[o - 1][below]) if o and len(g) else np.zeros(len(first)))
-            node.append(np.repeat(np.arange(len(first)), np.diff(np.append(first, len(g)))))
-        self._learn_escapes(node, lost, least)
-        top = self.gram[ORDER]
-        bits = max(10, int(len(top) * 2).bit_length())
-        self.shift, self.keys, self.values = U(64 - bits), np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << bits, np.float32)
-        value = self.code(top) if len(top) else np.zeros(0)
-        left, at = np.arange(len(top)), (top * U(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-        self.probes = 0
-        while len(left) and self.probes < 16:
-            free = self.keys[at] == U(0xFFFFFFFFFFFFFFFF)
-            self.keys[at[free]] = top[left[free]]
-            put = self.keys[at] == top[left]
-            self.values[at[put]] = value[left[put]]
-            left, at = left[~put], (at[~put] + 1) & ((1 << bits) - 1)
-            self.probes += 1
+            self.node.append(np.repeat(np.arange(len(first)), np.diff(np.append(first, len(g)))))
 
     @staticmethod
     def _class(total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         return np.minimum(np.log2(np.maximum(total, 0) + 1) * 2, 60).astype(np.int64) * 64 + np.minimum(np.log2(np.maximum(kinds, 0) + 1) * 4, 63).astype(np.int64)
 
-    def _learn_escapes(self, node: list[np.ndarray], lost: tuple, least: int) -> None:
-        """self.escape[order, after an escape]: escape probability by class."""
-        share = lambda new, all_: (new + 0.15) / (all_ + 0.3)
-        size = 61 * 64
-        self.escape = {}
-        lost_order, lost_context, lost_count = (np.asarray(x) for x in lost)
+    def evidence(self, low: int, high: int) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+        """(order, after an escape, new, every) by class, from the entries of orders low to high - 1."""
         for o in range(ORDER + 1):
-            c, n = self.count[o], node[o]
-            once = (c == 1) & (least == 1)
-            cls = self._class(self.total[o][n] - 1, self.kinds[o][n] - once)
-            every, new = np.bincount(cls, weights=c, minlength=size), np.bincount(cls, weights=once.astype(float), minlength=size)
-            own = lost_order == o
-            if own.any():
-                at, there = self._find(self.context[o], lost_context[own].astype(np.int64).view(np.uint64))
-                cls = self._class(self.total[o][at[there]], self.kinds[o][at[there]])
-                more = np.bincount(cls, weights=lost_count[own][there].astype(float), minlength=size)
-                every, new = every + more, new + more
-            self.escape[o, False] = share(new, every)
-            if o == ORDER or not len(self.gram[o + 1]):
+            if low <= o < high:
+                c, n = self.count[o], self.node[o]
+                once = c == 1
+                cls = self._class(self.total[o][n] - 1, self.kinds[o][n] - once)
+                yield o, False, np.bincount(cls, weights=once.astype(float), minlength=CLASSES), np.bincount(cls, weights=c, minlength=CLASSES)
+            if not (low <= o + 1 < high and o < ORDER and len(self.gram[o + 1])):
                 continue
             # occurrences that are new one order above, but for themselves
-            rare = self.count[o + 1] == (least if o + 1 == ORDER else 1)
-            g, above = self.gram[o + 1][rare] & U((1 << SYMBOL_BITS * (o + 1)) - 1), node[o + 1][rare]
+            rare = self.count[o + 1] == 1
+            g, above = self.gram[o + 1][rare] & U((1 << SYMBOL_BITS * (o + 1)) - 1), self.node[o + 1][rare]
             c = self.count[o][self._find(self.gram[o], g)[0]]
             here = self._find(self.context[o], g >> U(SYMBOL_BITS))[0]
             new = c == 1
             cls = self._class(self.total[o][here] - (self.excluded[o + 1][above] - c) - 1, self.kinds[o][here] - (self.kinds[o + 1][above] - 1) - new)
-            self.escape[o, True] = share(np.bincount(cls, weights=new.astype(float), minlength=size), np.bincount(cls, minlength=size))
+            yield o, True, np.bincount(cls, weights=new.astype(float), minlength=CLASSES), np.bincount(cls, minlength=CLASSES).astype(float)
 
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,50 +253,112 @@ class Trie:
             out[open_] -= np.log10(ALPHABET - (self.kinds[0][0] if len(self.kinds[0]) else 0))
         return out
 
-    def lookup(self, gram: np.ndarray) -> np.ndarray:
-        """As code(), by the hash table of the longest grams first."""
-        at = (gram * U(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-        out = self.values[at].astype(np.float64)
-        miss = np.flatnonzero(self.keys[at] != gram)
+
+class Known:
+    """A hash table of grams and their log10 probabilities."""
+
+    NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def __init__(self, gram: np.ndarray, value: np.ndarray):
+        bits = max(10, int(len(gram) * 2).bit_length())
+        self.shift, self.keys, self.values = U(64 - bits), np.full(1 << bits, self.NONE), np.zeros(1 << bits, np.float32)
+        left, at = np.arange(len(gram)), self._at(gram)
+        self.probes = 0
+        while len(left) and self.probes < 16:
+            free = self.keys[at] == self.NONE
+            self.keys[at[free]] = gram[left[free]]
+            put = self.keys[at] == gram[left]
+            self.values[at[put]] = value[left[put]]
+            left, at = left[~put], (at[~put] + 1) & ((1 << bits) - 1)
+            self.probes += 1
+
+    def _at(self, gram: np.ndarray) -> np.ndarray:
+        return (gram * U(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def lookup(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each gram's value, 0 where it has none, and whether it has one."""
+        at = self._at(gram)
+        ok = self.keys[at] == gram
+        out = np.where(ok, self.values[at].astype(np.float64), 0.0)
+        miss = np.flatnonzero(~ok)
         at = at[miss]
-        for _ in range(1, min(self.probes, 4)):
+        for _ in range(1, self.probes):
             at = (at + 1) & (len(self.keys) - 1)
             hit = self.keys[at] == gram[miss]
-            out[miss[hit]] = self.values[at[hit]]
+            out[miss[hit]], ok[miss[hit]] = self.values[at[hit]], True
             miss, at = miss[~hit], at[~hit]
-        if len(miss):
-            kinds, of = np.unique(gram[miss], return_inverse=True)
-            out[miss] = self.code(kinds)[of]
-        return out
+        return out, ok
 
 
-_built: dict[int, Trie] = {}
+_built: dict[int, Known] = {}
 
 
-def _trie(model) -> Trie:
-    """The trie of a broadcast, built once in each Python worker."""
+def _known(model) -> Known:
+    """The table of a broadcast, built once in each Python worker."""
     if model.value["uid"] not in _built:
         _built.clear()
-        v = model.value
-        _built[v["uid"]] = Trie(v["order"], v["gram"], v["count"], v["lost"], v["least"])
+        _built[model.value["uid"]] = Known(model.value["gram"], model.value["value"])
     return _built[model.value["uid"]]
 
 
+def _bucket(gram: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of a gram of order LOW or more: by the last LOW symbols of its context."""
+    return (mix(gram >> U(SYMBOL_BITS) & U((1 << SYMBOL_BITS * LOW) - 1)) % U(n)).astype(np.int64)
+
+
+def _placed(n: int):
+    """(order, gram, count) -> entries packed by bucket."""
+
+    def run(batches):
+        for batch in batches:
+            o, g, c = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64), np.asarray(batch.column(2))
+            order, first = regroup(np.arange(len(g)), _bucket(g, n), n)
+            some = np.flatnonzero(np.diff(first))
+            pick = lambda x: packed(x[order], first).take(pa.array(some))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pick(o), pick(g), pick(c)], ["bucket", "orders", "grams", "counts"])
+
+    return run
+
+
+def _part(low, table: pa.Table, escape: dict | None = None) -> Trie:
+    """A bucket's part of the trie, with the low orders."""
+    order, gram, count = low.value
+    own = _unpack(table["orders"], np.int32), _unpack(table["grams"], np.uint64), _unpack(table["counts"], np.int64)
+    return Trie(np.concatenate([order, own[0]]), np.concatenate([gram, own[1]]), np.concatenate([count, own[2]]), escape)
+
+
+def _evidence(low):
+    def run(table: pa.Table) -> pa.Table:
+        got = list(_part(low, table).evidence(LOW, ORDER + 1))
+        return pa.table({"order": pa.array([x[0] for x in got], pa.int32()), "fell": pa.array([x[1] for x in got], pa.bool_()), "new": pa.array([x[2].tobytes() for x in got], pa.binary()), "every": pa.array([x[3].tobytes() for x in got], pa.binary())})
+
+    return run
+
+
+def _frequent(low, escape, least: int):
+    def run(table: pa.Table) -> pa.Table:
+        trie = _part(low, table, escape.value)
+        g = trie.gram[ORDER][trie.count[ORDER] >= least]
+        return pa.table({"gram": pa.array(g.view(np.int64)), "value": pa.array(trie.code(g).astype(np.float32))})
+
+    return run
+
+
 def _in_head(hashes: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return Trie._find(head, hashes)
 
 
-def _tail(model, n: int):
-    """(key, text) -> words outside the head, with each text's key and their number, by bucket."""
+def _tail(model, n: int, kind: int):
+    """(key, text) -> words outside the head, or grams that are not sent out, with each text's key and their number, by bucket."""
 
     def run(batches):
         head = model.value["head"]
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column(1)):
                 keys = np.asarray(batch.column(0).slice(lo, hi - lo))
-                hashes, first = word_hashes(data, offsets)
+                hashes, first = word_hashes(data, offsets) if kind == WORDS else grams(data, offsets)
                 text = np.repeat(np.arange(hi - lo), np.diff(first))
-                out = ~_in_head(hashes, head)[1]
+                out = ~(_in_head(hashes, head) if kind == WORDS else _known(model).lookup(hashes))[1]
                 hashes, text = hashes[out], text[out]
                 order = np.lexsort((hashes, text))
                 hashes, text = hashes[order], text[order]
@@ -323,7 +367,7 @@ def _tail(model, n: int):
                 at = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])))
                 tf = np.diff(np.append(at, len(hashes))).astype(np.int32)
                 hashes, text = hashes[at], text[at]
-                order, first = regroup(np.arange(len(hashes)), (mix(hashes) % U(n)).astype(np.int64), n)
+                order, first = regroup(np.arange(len(hashes)), (mix(hashes) % U(n)).astype(np.int64) if kind == WORDS else _bucket(hashes, n), n)
                 some = np.flatnonzero(np.diff(first))
                 pick = lambda x: packed(x[order], first).take(pa.array(some))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pick(hashes), pick(keys[text]), pick(tf)], ["bucket", "words", "texts", "tf"])
@@ -331,20 +375,24 @@ def _tail(model, n: int):
     return run
 
 
-def _meet(n: int):
+def _meet(n: int, low=None, escape=None):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """A bucket's words in texts, and in the vocabulary: sums by text, packed by text bucket."""
+        """A bucket's words in texts, and in the vocabulary, or grams and trie: sums by text, packed by text bucket."""
         w, t, tf = _unpack(left["words"], np.uint64), _unpack(left["texts"], np.int64), _unpack(left["tf"], np.int32)
         order = np.lexsort((w, t))
         w, t, tf = w[order], t[order], tf[order]
         fresh = np.append(True, (w[1:] != w[:-1]) | (t[1:] != t[:-1])) if len(w) else np.zeros(0, bool)
         w, t, tf = w[fresh], t[fresh], tf[fresh]  # rows that repeat a text
-        vocabulary, counts = _unpack(right["keys"], np.uint64), _unpack(right["counts"], np.int64)
-        at, known = Trie._find(vocabulary, w)
-        c = np.where(known, counts[at] if len(counts) else 0, 0)
+        if low:
+            kinds, of = np.unique(w, return_inverse=True)
+            value, known = _part(low, right, escape.value).code(kinds)[of], np.ones(len(w), bool)
+        else:
+            vocabulary, counts = _unpack(right["keys"], np.uint64), _unpack(right["counts"], np.int64)
+            at, known = Trie._find(vocabulary, w)
+            value = np.log10(np.where(known, counts[at] if len(counts) else 0, 0) + 1.0)
         first = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
         add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0, x.dtype)
-        t, s, k = t[first], add(tf * np.log10(c + 1.0)), add(np.where(known, tf, 0).astype(np.int64))
+        t, s, k = t[first], add(tf * value), add(np.where(known, tf, 0).astype(np.int64))
         order, first = regroup(np.arange(len(t)), (mix(t.view(np.uint64)) % U(n)).astype(np.int64), n)
         some = np.flatnonzero(np.diff(first))
         pick = lambda x: packed(x[order], first).take(pa.array(some))
@@ -364,15 +412,15 @@ def _by_text(table: pa.Table) -> pa.Table:
 
 
 def _score(model):
-    """(doc_id, key, text) -> words, and of those in the head the known and their sum, and the model's log10 probability."""
+    """(doc_id, key, text) -> words, and of those in the head the known and their sum, and the log10 probability of the grams sent out."""
 
     def run(batches):
         v = model.value
-        trie, head, logs, seen = _trie(model), v["head"], np.log10(v["head_count"] + 1.0), v["head_count"] > 0
+        table, head, logs, seen = _known(model), v["head"], np.log10(v["head_count"] + 1.0), v["head_count"] > 0
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column(2)):
                 g, first = grams(data, offsets)
-                score = np.add.reduceat(trie.lookup(g), first[:-1])
+                score = np.add.reduceat(table.lookup(g)[0], first[:-1])
                 hashes, first = word_hashes(data, offsets)
                 at, ok = _in_head(hashes, head)
                 sums = np.append(0.0, np.cumsum(np.where(ok, logs[at] if len(head) else 0.0, 0.0)))
@@ -401,11 +449,19 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     counted = keep(counted.groupBy("kind", "bucket").applyInArrow(_sum, "kind int, bucket int, keys binary, counts binary"), "counts")
 
     entries = keep(_trie_entries(counted), "trie")
-    least = _threshold(entries, MAX_NODES)
-    nodes = entries.filter(F.col("n") >= least).select(F.col("order").cast("tinyint"), "gram", "count").toArrow()
-    context = F.shiftright("gram", SYMBOL_BITS).alias("context")
-    cut = entries.groupBy("order", context).agg(F.sum(F.when(F.col("n") < least, F.col("count"))).alias("lost"), F.max("n").alias("top")).filter((F.col("top") >= least) & (F.col("lost") > 0))
-    lost = cut.select("order", "context", "lost").toArrow() if least > 1 else None
+    numbers = lambda t: (t["order"].to_numpy(), t["gram"].to_numpy().view(np.uint64), t["count"].to_numpy())
+    low = numbers(entries.filter(F.col("order") < LOW).select("order", "gram", "count").toArrow())
+    parts = entries.filter(F.col("order") >= LOW).select("order", "gram", "count")
+    parts = keep(parts.mapInArrow(lean(_placed(n)), "bucket int, orders binary, grams binary, counts binary"), "parts")
+    evidence = {(o, False): np.zeros((2, CLASSES)) for o in range(ORDER + 1)}
+    for o, fell, new, every in Trie(*low).evidence(0, LOW):
+        evidence[o, fell] = np.stack([new, every])
+    low = spark.sparkContext.broadcast(low)
+    for r in parts.groupBy("bucket").applyInArrow(_evidence(low), "order int, fell boolean, new binary, every binary").toLocalIterator():
+        evidence[r.order, r.fell] = evidence.get((r.order, r.fell), 0) + np.stack([np.frombuffer(r.new), np.frombuffer(r.every)])
+    escape = spark.sparkContext.broadcast({k: (new + 0.15) / (every + 0.3) for k, (new, every) in evidence.items()})
+    least = _threshold(entries.filter(F.col("order") == ORDER), MAX_NODES)
+    frequent = parts.groupBy("bucket").applyInArrow(_frequent(low, escape, least), "gram long, value float").toArrow()
     vocabulary = counted.filter(f"kind = {WORDS}")
     listed = vocabulary.mapInArrow(_words, "word long, n long")
     totals = listed.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
@@ -415,25 +471,27 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     order = np.argsort(word)
     model = spark.sparkContext.broadcast({
         "uid": np.random.default_rng().integers(1 << 62),
-        "order": nodes["order"].to_numpy(), "gram": nodes["gram"].to_numpy().view(np.uint64), "count": nodes["count"].to_numpy(),
-        "least": least, "lost": tuple(c.to_numpy() for c in lost.columns) if least > 1 else ((), (), ()),
+        "gram": frequent["gram"].to_numpy().view(np.uint64), "value": frequent["value"].to_numpy(),
         "head": word[order], "head_count": head["n"].to_numpy()[order],
     })
 
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    tail = keyed.select("key", "text").mapInArrow(lean(_tail(model, n)), "bucket int, words binary, texts binary, tf binary")
+    tail = keyed.select("key", "text").mapInArrow(lean(_tail(model, n, WORDS)), "bucket int, words binary, texts binary, tf binary")
     met = tail.groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(_meet(n), "bucket int, texts binary, sums binary, known binary")
     rare = met.groupBy("bucket").applyInArrow(_by_text, "key long, tail_sum double, tail_known long")
+    tail = keyed.select("key", "text").mapInArrow(lean(_tail(model, n, GRAMS)), "bucket int, words binary, texts binary, tf binary")
+    met = tail.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(_meet(n, low, escape), "bucket int, texts binary, sums binary, known binary")
+    others = met.groupBy("bucket").applyInArrow(_by_text, "key long, tail_sum double, tail_known long").select("key", F.col("tail_sum").alias("more"))
     scores = keyed.mapInArrow(lean(_score(model)), "doc_id long, key long, words long, head_known long, head_sum double, score double")
     tokens, kinds = (totals.n or 0) + texts, totals.v + (texts > 0)
     floor = float(np.log10(tokens + (kinds + 1)))
     n_tokens = F.col("words") + 1
-    return scores.join(rare, "key", "left").select(
+    return scores.join(rare, "key", "left").join(others, "key", "left").select(
         "doc_id",
         held_out("doc_id", folds, rest).alias("held_out"),
         n_tokens.alias("n_tokens"),
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0)) + int(texts > 0)).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) + float(np.log10(texts + 1)) - n_tokens * floor).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )

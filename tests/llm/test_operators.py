@@ -258,6 +258,12 @@ def test_language_model_bounds(spark, monkeypatch):
     assert all(np.isfinite(r.score) and r.score < 0 for r in small.values())
 
 
+@pytest.mark.parametrize("most", [0, 40, 800])
+def test_language_model_is_whole_whatever_is_sent_out(spark, monkeypatch, most):
+    monkeypatch.setattr(language_model, "MAX_NODES", most)
+    test_language_model(spark)
+
+
 def test_fingerprints(spark):
     docs = [(d, t) for d, t in dict(corpus(9, 40)).items()] + [(700, None), (701, "é漢" * 50)]
     got = {r.doc_id: r for r in fingerprints.fingerprints(table(spark, docs)).collect()}
