@@ -7,9 +7,10 @@ writes them as Parquet and the next stage reads them back.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docquarry.llm.decontaminate import without_leaks
-from docquarry.llm.mixing import mix_sources
+from docquarry.llm.mixing import mixed_texts
 from docquarry.llm.near_dedup import one_of_each
 from docquarry.llm.store import keep
 from docquarry.llm.suffix_dedup import with_repeats_cut
@@ -37,12 +38,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, with size, target of their source and words taken.
+    """What the mix takes of each document, once for each pass that takes of it, with size, target of the source and words taken.
 
-    A row's columns are those of documents, then size, source_size, target and taken.
+    A row's columns are those of documents, with text and n_chars of what is taken, then size, source_size, target and taken.
     """
-    taken = mix_sources(docs).filter("taken > 0").drop("source")
-    return docs.join(taken.dropDuplicates(["doc_id"]), "doc_id").select(*docs.columns, "size", "source_size", "target", "taken")
+    return mixed_texts(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 STAGES = [

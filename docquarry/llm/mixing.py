@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm.bytesops import U, mix
+from docquarry.llm.store import keep
 
 BLOCK = 32
 REPEATS = 3
@@ -28,6 +29,8 @@ SHARDS, SHARD_SLOTS = 1024, 4096
 #: Slots that one task row of the plan stands for.
 PLAN_ROW = 1 << 17
 ROUNDS = 16
+#: The column that numbers rows.
+ROW = "row_of_mix"
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.0, repeats: int = REPEATS) -> list[float]:
@@ -99,17 +102,18 @@ def _slots(seed: int):
     return run
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size: words of each row's text."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *more: str) -> DataFrame:
+    """doc_id, source, size: words of each row's text; then the columns named in more."""
     words = F.expr(f"cast(regexp_count(coalesce(`{text_col}`, ''), '[^\\\\x20\\\\x09-\\\\x0D]+') as long)")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), *more)
 
 
 class Mix:
     """A planned mix of (doc_id, source, size). `rows`: the input with source_no and offset;
-    `slots`: what each output slot takes; `taken`: the input with source_size, target and taken."""
+    `slots`: what each output slot takes; `pieces`: the rows' words from lo to hi - 1 that lie in each block;
+    `taken`: the input with source_size, target and taken. Rows of one id and size are ordered by ties."""
 
-    def __init__(self, sized: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, seed: int = 1):
+    def __init__(self, sized: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, seed: int = 1, ties: tuple = ()):
         spark = sized.sparkSession
         # sources are few (they have weights); documents are many
         found = sorted(sized.groupBy("source").agg(F.sum("size").alias("n")).collect(), key=lambda r: (r.source is None, (r.source or "").encode()))
@@ -121,12 +125,18 @@ class Mix:
         rows = sized.join(F.broadcast(listed), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
         by_salt = rows.groupBy("source_no", "salt").agg(F.sum("size").alias("n"))
         base = by_salt.select("source_no", "salt", (F.sum("n").over(Window.partitionBy("source_no").orderBy("salt")) - F.col("n")).alias("base"))
-        within = F.sum("size").over(Window.partitionBy("source_no", "salt").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+        within = F.sum("size").over(Window.partitionBy("source_no", "salt").orderBy("doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
         self.rows = rows.withColumn("within", within).join(base, ["source_no", "salt"]).withColumn("offset", F.col("base") + F.col("within")).drop("salt", "within", "base")
         plan = [(shard, s, at, min(PLAN_ROW, first + n - at), blocks[s]) for shard, s, first, n in draw(quotas, seed) for at in range(first, first + n, PLAN_ROW)]
         plan = spark.createDataFrame(plan, "shard long, source_no long, first long, n long, blocks long").repartition(max(1, min(len(plan), spark.sparkContext.defaultParallelism)))
         self.slots = plan.mapInArrow(_slots(seed), "shard long, source_no long, slot long, pass long, block long")
 
+    @property
+    def pieces(self) -> DataFrame:
+        some = self.rows.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(offset div {BLOCK}, (offset + size - 1) div {BLOCK})")))
+        lo, hi = F.expr(f"greatest(offset, block * {BLOCK}) - offset"), F.expr(f"least(offset + size, (block + 1) * {BLOCK}) - offset")
+        return some.withColumn("lo", lo.cast("int")).withColumn("hi", hi.cast("int"))
+
     @property
     def taken(self) -> DataFrame:
         uses = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("uses"))
@@ -151,3 +161,44 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are ignored; an empty table gives an empty result.
     """
     return Mix(sizes(docs, id_col, text_col, source_col)).taken
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, Mix]:
+    """docs, with numbers of rows that stay the same, and the mix of them; null ids are rows like others."""
+    docs = keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    return docs, Mix(sizes(docs, id_col, text_col, source_col, ROW, F.xxhash64(text_col).alias("tie")), ties=("tie",))
+
+
+def _tokens(text_col: str) -> str:
+    return f"regexp_extract_all(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"
+
+
+def packed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """shard, slot, source, tokens: the mix of mix_sources() itself, one row for each slot of a source.
+
+    tokens are the words of the block that the slot takes: BLOCK of them, fewer in a source's last block.
+    """
+    docs, m = _numbered(docs, id_col, text_col, source_col)
+    own = m.pieces.select("source_no", "block", "source", "offset", "lo", "hi", ROW).join(docs.select(ROW, F.expr(_tokens(text_col)).alias("words")), ROW)
+    own = own.select("source_no", "block", "source", "offset", F.expr("slice(words, lo + 1, hi - lo)").alias("t"))
+    blocks = own.groupBy("source_no", "block").agg(F.first("source").alias("source"), F.sort_array(F.collect_list(F.struct("offset", "t"))).alias("parts"))
+    blocks = blocks.select("source_no", "block", "source", F.expr("flatten(transform(parts, x -> x.t))").alias("tokens"))
+    return m.slots.join(blocks, ["source_no", "block"]).select("shard", "slot", "source", "tokens")
+
+
+def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """What the mix takes of each row of docs, in docs' columns, then size, source_size, target and taken.
+
+    A row comes once for each pass that takes of it. Its text is the words of
+    the blocks that the pass takes, in their order and joined by spaces, or the
+    text as it is where all are taken; taken counts them, so that they add up
+    to mix_sources()' taken.
+    """
+    docs, m = _numbered(docs, id_col, text_col, source_col)
+    drawn = m.pieces.select("source_no", "block", "size", "source_size", "target", "lo", "hi", ROW).join(m.slots.select("source_no", "block", "pass"), ["source_no", "block"])
+    drawn = drawn.groupBy(ROW, "pass").agg(*(F.first(c).alias(f"{c}_") for c in ("size", "source_size", "target")), F.sum(F.expr("hi - lo")).alias("taken_"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans_"))
+    # the lambda has a text's words found once, not once for each span
+    text = F.expr(f"if(taken_ = size_, `{text_col}`, transform(array({_tokens(text_col)}), w -> array_join(flatten(transform(spans_, x -> slice(w, x.lo + 1, x.hi - x.lo))), ' '))[0])")
+    columns = [c for c in docs.columns if c != ROW]
+    out = docs.join(drawn, ROW)
+    return out.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns), *(F.col(f"{c}_").alias(c) for c in ("size", "source_size", "target", "taken")))

@@ -3,11 +3,13 @@
 import base64
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from docquarry.llm import decontaminate, fingerprints, language_model, licenses, loser_tree, mixing, near_dedup, quality, suffix_dedup, toxicity, warc
 from docquarry.llm.graph import components
 from tests.llm import brute
@@ -222,6 +224,23 @@ def test_mixing(spark, size, overall):
         assert sum(r.taken for r in by[s]) == pytest.approx(t, abs=2 * mixing.BLOCK)
 
 
+def mixed_rows(spark):
+    """Sources of unlike sizes, each word its own."""
+    docs = [(i, " ".join(f"d{i}w{j}" for j in range(i * 37 % 211)), "en", "s0" if i % 4 else "s1", 0) for i in range(60)]
+    return docs, spark.createDataFrame(docs, DOCS)
+
+
+def test_mix_has_the_words_that_it_takes(spark):
+    docs, rows = mixed_rows(spark)
+    taken = {r.doc_id: r.taken for r in mixing.mix_sources(rows).collect()}
+    uses = Counter(w for r in mixing.packed_blocks(rows).collect() for w in r.tokens)
+    assert {d: sum(uses[w] for w in t.split()) for d, t, *_ in docs} == taken
+    got = corpus_pipeline.mix(spark, rows, "").collect()
+    assert Counter(w for r in got for w in r.text.split()) == uses and max(uses.values()) > 1
+    assert all(r.taken == len(r.text.split()) <= r.size and r.n_chars == len(r.text) for r in got)
+    assert any(0 < r.taken < r.size for r in got)
+
+
 def test_targets_stop_at_three_times_a_size():
     assert mixing.targets([10, 1000], [9.0, 1.0]) == [30.0, 980.0]
     assert mixing.targets([100, 100], [1.0, 1.0]) == [100.0, 100.0]
