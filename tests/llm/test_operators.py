@@ -241,6 +241,14 @@ def test_mix_has_the_words_that_it_takes(spark):
     assert any(0 < r.taken < r.size for r in got)
 
 
+def test_mix_keeps_rows_without_id(spark):
+    rows = table(spark, [(None, "a b c"), (None, "d e"), (3, "f g h"), (3, "f g h")])
+    got = corpus_pipeline.mix(spark, rows, "").collect()
+    want = mixing.mix_sources(rows).collect()
+    assert sum(r.taken for r in got if r.doc_id is None) == sum(r.taken for r in want if r.doc_id is None) > 0
+    assert sum(r.taken for r in got) == sum(r.taken for r in want)
+
+
 def test_targets_stop_at_three_times_a_size():
     assert mixing.targets([10, 1000], [9.0, 1.0]) == [30.0, 980.0]
     assert mixing.targets([100, 100], [1.0, 1.0]) == [100.0, 100.0]
