@@ -152,3 +152,50 @@ def edited(docs):
         new = t[: n - n // 2] + after[1][: n // 2]
         out[d] = (n, hashlib.sha256(new.encode()).hexdigest(), after[0])
     return out
+
+
+def clause_patterns(text, kinds, scope=3):
+    """{pattern: matches} of insults (of grade 3) and threats, each by all that its clause holds."""
+    out = {}
+    for clause in re.split(r"[.,;:!?\n\r()\[\]{}\"|]", (text or "").translate(ASCII_LOWER)):
+        w = [kinds.get(x) for x in re.findall(r"[0-9a-z\u0080-\U0010ffff]+", clause)]
+        target = w.index("target") if "target" in w else len(w)
+        report = w.index("report") if "report" in w else len(w)
+        waiting = []
+        for i, k in enumerate(w):
+            if k not in ("insult", "threat"):
+                continue
+            if i > report:
+                context = "reported"
+            elif "negator" in w[max(0, i - scope) : i]:
+                context = "negated"
+            elif i > target:
+                context = "aimed"
+            else:
+                waiting.append(k)
+                continue
+            name = ("insult3_" if k == "insult" else "threat_") + context
+            out[name] = out.get(name, 0) + 1
+        # of those before the first target, the strongest is aimed at it
+        waiting.sort()
+        for i, k in enumerate(waiting):
+            name = ("insult3_" if k == "insult" else "threat_") + ("aimed" if target < len(w) and i == len(waiting) - 1 else "bare")
+            out[name] = out.get(name, 0) + 1
+    return out
+
+
+def stem_grades(rows, lengths, grades, least):
+    """{(bytes, is it a whole word): grade} of (text, is it toxic)."""
+    held = {}
+    for text, bad in rows:
+        stems = set()
+        for w in re.findall(rb"[0-9a-z\x80-\xff]+", text.translate(ASCII_LOWER).encode()):
+            stems |= {(w, True)} | {(w[:n], False) for n in lengths if n < len(w)}
+        for x in stems:
+            held.setdefault(x, [0, 0])[bool(bad)] += 1
+    n = [sum(not bad for _, bad in rows), sum(bool(bad) for _, bad in rows)]
+    out = {}
+    for x, (b, a) in held.items():
+        sure = math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1)) - math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        out[x] = sum(sure >= g for g in grades) if a >= least else 0
+    return out

@@ -371,16 +371,87 @@ def test_toxicity(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i in range(200) if i % 4}
 
 
+def no_labels():
+    return toxicity.lexicon(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), (0, 0))
+
+
 def test_clause_grammar():
     cases = {
-        "you are an idiot": "insult_aimed", "such an idiot": "insult", "idiot, you": "insult", "idiot like you": "insult_aimed", "you are not an idiot": "insult_negated",
-        "he said idiot": "insult_reported", "i will kill you": "threat_aimed", "kill time": "threat", "never kill": "threat_negated", "IDIOT%%% you": "insult_aimed",
+        "you are an idiot": "insult3_aimed", "such an idiot": "insult3_bare", "idiot, you": "insult3_bare", "idiot like you": "insult3_aimed", "you are not an idiot": "insult3_negated",
+        "he said idiot": "insult3_reported", "i will kill you": "threat_aimed", "kill time": "threat_bare", "never kill": "threat_negated", "IDIOT%%% you": "insult3_aimed", "du bist kein trottel": "insult3_negated",
     }
     for text, pattern in cases.items():
-        row = toxicity.matches(*_block(text))[0]
+        row = toxicity.matches(*_block(text), no_labels())[0]
         assert dict(zip(toxicity.PATTERNS, row.tolist(), strict=True)) == {p: int(p == pattern) for p in toxicity.PATTERNS}, text
 
 
+def test_clauses_of_whole_documents(spark):
+    """The composed table against a reader that looks at each clause as a whole."""
+    rng = random.Random(8)
+    seeds = {name: words.split() for name, words in toxicity.LEXICON.items()}
+    pool = [w for name in ("target", "negator", "report", "threat", "insult") for w in rng.sample(seeds[name], 6)] + vocabulary(rng, 40)
+    docs = [(i, "".join(rng.choice(pool).title() + rng.choice((" ", " ", " ", " - ", ", ", ". ", "\n")) for _ in range(rng.choice((0, 1, 5, 60, 3000))))) for i in range(40)] + [(90, None)]
+    got = toxicity._matched(table(spark, docs).select("doc_id", "text"), spark.sparkContext.broadcast(no_labels())).collect()
+    kinds = {w: name for name in ("target", "negator", "report", "threat", "insult") for w in seeds[name]}
+    assert len(got) == 41
+    for r in got:
+        assert {p: n for p, n in zip(toxicity.PATTERNS, r.f, strict=True) if n} == brute.clause_patterns(r.text, kinds)
+
+
+def other_language(rng, syllables, n):
+    return ["".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(n)]
+
+
+LANGUAGES = {"en": ["the", "ing", "on", "er", "st"], "de": ["ver", "ein", "ß", "ung", "lich"], "es": ["ción", "ado", "la", "ñ", "es"], "fr": ["eux", "ê", "le", "tre", "oi"]}
+
+
+def labelled(rng, n=150):
+    """Documents in four languages; the toxic ones hold forms of a stem that their language's others do not."""
+    docs, labels, lang = [], [], {}
+    for k, (name, syllables) in enumerate(LANGUAGES.items()):
+        pool, stem = other_language(rng, syllables, 200), "xobuz"[k:] + syllables[0]
+        for i in range(n):
+            bad, w = i % 5 == 0, rng.choices(pool, k=60)
+            for j in rng.sample(range(60), 6 if bad else 0):
+                w[j] = stem + rng.choice(syllables)
+            d = k * 1000 + i
+            docs.append((d, " ".join(w)))
+            labels.append((d, 1, int(bad)))
+            lang[d] = name
+    return docs, labels, lang
+
+
+def test_insults_are_learned_in_any_language(spark):
+    docs, labels, lang = labelled(random.Random(12))
+    got = toxicity.toxicity(table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    bad = {d for d, _, y in labels if y}
+    for name in LANGUAGES:
+        held = [r for r in got if r.held_out and lang[r.doc_id] == name]
+        toxic = [r.predicted for r in held if r.doc_id in bad]
+        assert len(toxic) >= 3 and sum(toxic) >= 0.9 * len(toxic)
+        assert sum(r.predicted for r in held if r.doc_id not in bad) <= 0.05 * len(held)
+
+
+def test_evidence_counts_whole_documents(spark):
+    """Grades of words and prefixes, from how many toxic and clean rows hold them."""
+    docs, labels, _ = labelled(random.Random(13), 40)
+    kind = {d: y for d, _, y in labels}
+    sample = spark.createDataFrame([(d % 2, float(kind[d]), t) for d, t in docs], "half long, y double, text string")
+    halves, both = toxicity.lexicons(sample)
+    for chosen, by in (((0,), halves[0]), ((1,), halves[1]), ((0, 1), both)):
+        want = brute.stem_grades([(t, kind[d]) for d, t in docs if d % 2 in chosen], toxicity.STEM, toxicity.GRADES, toxicity.LEAST_ROWS)
+        found = dict(zip(by.stem.tolist(), by.symbol.tolist(), strict=True))
+        assert sum(g > 0 for g in want.values()) > 20
+        for (word, whole), grade in want.items():
+            h = toxicity.Words(*_block_of(word)).hash[0]
+            assert found.get(int(h if whole else ~h), 0) == grade, word
+
+
+def _block_of(word):
+    data = np.frombuffer(word, np.uint8)
+    return data, np.array([0, len(data)])
+
+
 def test_quality(spark):
     rng = random.Random(3)
     words = vocabulary(rng)
