@@ -1,10 +1,13 @@
 """Benchmark decontamination: CGK embedding, bit sampling, exact edit verification.
 
-Texts are sequences of words (runs of letters, digits and bytes above 0x7F; A-Z
-lower-cased). A document leaks an item if some stretch of it is within the
-item's edit bound: EDIT_RATE of its words, and few enough that two of its
-distinct three-word pieces must survive any such edits. So only windows that
-hold two distinct pieces of the benchmark are looked at, which loses nothing.
+Texts are sequences of words: runs of letters, digits and bytes above 0x7F, A-Z
+lower-cased; a code point of a script without spaces (Chinese, Japanese, Thai,
+Lao) is a word of its own. A document leaks an item if some stretch of it is
+within the item's edit bound, EDIT_RATE of its words; an item of fewer than
+LEAST_EDITED words must be met exactly, and one of fewer than PIECE words must
+be the whole document. Of most items, two distinct three-word pieces survive any
+edits within the bound, so only windows that hold two are looked at; items of
+few distinct pieces have every window looked at that holds one.
 
 Each such window, of an item's size, is embedded by CGK random walks: at step j
 the walk writes the word it stands on and moves ahead if a random bit of (j,
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.bytesops import LOWER, U, blocks, lean, mix, prefix_hash, randoms, span_hash, spans
 
 EDIT_RATE = 0.2
-MIN_WORDS = 5
+LEAST_EDITED = 7
 PIECE = 3
 ROUNDS = 48
 SAMPLES = 3
@@ -45,10 +48,37 @@ _PAD = U(0x0123456789ABCDEF)
 _BITS = 22
 
 
+def _alone(data: np.ndarray) -> np.ndarray:
+    """Where words are cut: at code points of scripts without spaces, and after them."""
+    lead = np.flatnonzero(data & 0xC0 != 0x80)
+    one, two = data[lead], data[np.minimum(lead + 1, len(data) - 1)]
+    solo = ((one >= 0xE3) & (one <= 0xE9)) | ((one == 0xE0) & (two >= 0xB8) & (two <= 0xBB)) | ((one == 0xF0) & (two >= 0xA0) & (two <= 0xB3))
+    cut = np.zeros(len(data), bool)
+    cut[lead] = solo | np.append(False, solo[:-1])
+    return cut
+
+
+def spans_of_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of lower-cased data, and each text's first (n+1)."""
+    inside = WORDLY[data]
+    starts, ends, first = spans(inside, offsets)
+    if len(data) and data.max() >= 0xE0:
+        begin = np.zeros(len(data) + 1, bool)
+        begin[starts] = True
+        end = np.zeros(len(data) + 1, bool)
+        end[ends] = True
+        cut = _alone(data) & inside
+        begin[:-1] |= cut
+        end[:-1] |= cut & np.append(False, inside[:-1])
+        starts, ends = np.flatnonzero(begin), np.flatnonzero(end)
+        first = np.searchsorted(starts, offsets)
+    return starts, ends, first
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words, and each text's first (n+1)."""
     data = LOWER[data]
-    starts, ends, first = spans(WORDLY[data], offsets)
+    starts, ends, first = spans_of_words(data, offsets)
     return span_hash(prefix_hash(data), starts, ends), starts, ends, first
 
 
@@ -58,9 +88,9 @@ def pieces(hashes: np.ndarray) -> np.ndarray:
     return mix(sum((hashes[j : n + j] * _PLACE[j] for j in range(PIECE)), np.zeros(max(n, 0), np.uint64))) if n > 0 else np.zeros(0, np.uint64)
 
 
-def edit_bound(n: int, distinct: int) -> int:
-    """Edits under which two of an item's distinct pieces survive, at most EDIT_RATE of its words; below 0: unusable."""
-    return min(int(EDIT_RATE * n), (distinct - 2) // PIECE) if n >= MIN_WORDS and distinct >= 2 else -1
+def edit_bound(n: int) -> int:
+    """Edits that an item of n words may have."""
+    return int(EDIT_RATE * n) if n >= LEAST_EDITED else 0
 
 
 def _sampled_steps(n: int) -> np.ndarray:
@@ -116,32 +146,38 @@ class Index:
     def __init__(self, ids: list, texts: list):
         col = pa.array(texts, pa.large_string())
         self.ids, self.words, self.bound = [], [], []
+        self.short: dict = {}
         for lo, _, data, offsets in blocks(col):
             hashes, _, _, first = word_spans(data, offsets)
             for i in range(len(offsets) - 1):
                 own = hashes[first[i] : first[i + 1]]
-                bound = edit_bound(len(own), len(np.unique(pieces(own))))
-                if bound >= 0:
+                if len(own):
+                    if len(own) < PIECE:
+                        self.short.setdefault(tuple(own.tolist()), []).append(len(self.ids))
                     self.ids.append(ids[lo + i])
                     self.words.append(own)
-                    self.bound.append(bound)
+                    self.bound.append(edit_bound(len(own)))
         self.size = np.array([len(w) for w in self.words], np.int64)
-        found = [(p, i) for i, w in enumerate(self.words) for p in np.unique(pieces(w)).tolist()]
-        found.sort()
-        self.piece = np.array([p for p, _ in found], np.uint64)
-        self.piece_item = np.array([i for _, i in found], np.int64)
+        own = [np.unique(pieces(w)) for w in self.words]
+        # an edit ends at most PIECE pieces; where fewer than two distinct ones are sure to survive, one hit is enough
+        self.single = np.array([len(p) - PIECE * k < 2 for p, k in zip(own, self.bound, strict=True)], bool)
+        item = np.repeat(np.arange(len(own)), [len(p) for p in own])
+        flat = np.concatenate([np.zeros(0, np.uint64), *own])
+        order = np.argsort(flat, kind="stable")
+        self.piece, self.piece_item = flat[order], item[order]
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[self.piece >> U(64 - _BITS)] = True
-        keys, of = [], []
+        keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for i, w in enumerate(self.words):
-            keys.append(sample_keys(w, np.zeros(1, np.int64), len(w)).reshape(-1))
-            of.append(np.full(ROUNDS, i))
-        self.key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(self.key, kind="stable")
-        self.key, self.key_item = self.key[order], (np.concatenate(of) if of else np.zeros(0, np.int64))[order]
+            if len(w) >= PIECE:
+                keys.append(sample_keys(w, np.zeros(1, np.int64), len(w)).reshape(-1))
+                of.append(np.full(ROUNDS, i))
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        self.key, self.key_item = key[order], np.concatenate(of)[order]
 
     def windows(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(size, starts) of the windows that hold two distinct pieces of the benchmark."""
+        """(size, starts) of the windows that hold two distinct pieces of the benchmark, or one of an item that may keep only one."""
         p = pieces(hashes)
         at = np.flatnonzero(self.maybe[p >> U(64 - _BITS)])
         lo = np.searchsorted(self.piece, p[at], "left")
@@ -149,31 +185,36 @@ class Index:
         text = np.searchsorted(first, at, "right") - 1
         ok = (n_items > 0) & (at + PIECE <= first[text + 1])
         at, lo, n_items, text = at[ok], lo[ok], n_items[ok], text[ok]
-        if len(at) < 2:
+        if not len(at):
             return
-        # the next hit with another piece
+        # the next hit with another piece, in the same text
         h = p[at]
         change = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
         nxt = change[np.searchsorted(change, np.arange(len(h)), "right")]
-        ok = nxt < len(h)
-        ok[ok] &= text[nxt[ok]] == text[ok]
-        at2 = at[nxt[ok]]
-        at, lo, n_items, text = at[ok], lo[ok], n_items[ok], text[ok]
+        second = nxt < len(h)
+        second[second] &= text[nxt[second]] == text[second]
+        at2 = np.where(second, at[np.minimum(nxt, len(at) - 1)], 0)
         hit = np.repeat(np.arange(len(at)), n_items)
         item = self.piece_item[np.repeat(lo - np.append(0, np.cumsum(n_items))[:-1], n_items) + np.arange(int(n_items.sum()))]
+        alone = self.single[item]
+        ok = second[hit] | alone
+        hit, item, alone = hit[ok], item[ok], alone[ok]
         size = self.size[item]
         reach = size + np.array(self.bound, np.int64)[item]
-        begin = np.maximum(at2[hit] + PIECE - reach, first[:-1][text[hit]])
-        length = np.maximum(at[hit] + 1 - begin, 0)
+        begin = np.maximum(np.where(alone, at[hit], at2[hit]) + PIECE - reach, first[:-1][text[hit]])
+        end = np.maximum(at[hit] + 1, begin)
         for n in np.unique(size).tolist():
             own = size == n
-            b, c = begin[own], length[own]
-            starts = np.repeat(b - np.append(0, np.cumsum(c))[:-1], c) + np.arange(int(c.sum()))
-            yield n, np.unique(starts)
+            depth = np.bincount(begin[own], minlength=len(hashes) + 1) - np.bincount(end[own], minlength=len(hashes) + 1)
+            yield n, np.flatnonzero(np.cumsum(depth) > 0)
 
     def search(self, hashes: np.ndarray, first: np.ndarray) -> dict:
         """{(text, item): (edits, first word, words)}: the closest stretch of each text to each item it leaks."""
         found: dict = {}
+        if self.short:
+            for t in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < PIECE)).tolist():
+                for item in self.short.get(tuple(hashes[first[t] : first[t + 1]].tolist()), ()):
+                    found[t, item] = (0, int(first[t]), len(self.words[item]))
         for n, starts in self.windows(hashes, first):
             for lo in range(0, len(starts), 4096):
                 own = starts[lo : lo + 4096]
@@ -236,9 +277,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     edits counts word edits between the item and the closest stretch, which
     bytes start_byte to end_byte of the text hold; of several, the first.
-    Null and empty texts leak nothing. Items that are null, or have fewer than
-    MIN_WORDS words or two distinct three-word pieces, identify nothing and
-    match nothing. Rows that repeat an id each give their rows; ids may be
+    Null and empty texts leak nothing. Items that are null or without words
+    match nothing; those of fewer than LEAST_EDITED words match exactly, and of
+    fewer than PIECE words only a document that holds nothing else. Rows that repeat an id each give their rows; ids may be
     null. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.bytesops import LOWER, U, blocks, lean, mix, packed, prefix_hash, span_hash, spans
-from docquarry.llm.decontaminate import WORDLY
+from docquarry.llm.bytesops import LOWER, U, blocks, lean, mix, packed, prefix_hash, span_hash
+from docquarry.llm.decontaminate import spans_of_words
 from docquarry.llm.folds import held_out, training_sample
 from docquarry.llm.store import keep
 
@@ -135,7 +135,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         data = LOWER[data]
-        self.starts, self.ends, self.first = spans(WORDLY[data], offsets)
+        self.starts, self.ends, self.first = spans_of_words(data, offsets)
         self.prefix = prefix_hash(data)
         self.hash = span_hash(self.prefix, self.starts, self.ends)
         self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))

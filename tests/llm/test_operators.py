@@ -169,22 +169,33 @@ def test_leaks_are_found(spark, rate):
     items = [rng.choices(words, k=rng.randint(8, 45)) for _ in range(60)]
     docs = [(i, " ".join(rng.choices(words, k=50) + edited_item(rng, w, rate) + rng.choices(words, k=50))) for i, w in enumerate(items)]
     docs += [(1000 + i, " ".join(rng.choices(words, k=120))) for i in range(60)]
-    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(500, None), (501, "a b")], "item_id long, text string")
+    listed = [(i, " ".join(w)) for i, w in enumerate(items)] + [(500, None), (501, "a b")]
+    benchmark = spark.createDataFrame(listed, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.leaks(table(spark, docs), benchmark).collect()}
-    want = {}
-    for d, text in docs:
-        h = decontaminate.word_spans(*_block(text))[0].tolist()
-        for i, w in enumerate(items):
-            own = decontaminate.word_spans(*_block(" ".join(w)))[0]
-            bound = decontaminate.edit_bound(len(own), len(np.unique(decontaminate.pieces(own))))
-            best = min((decontaminate.edits(own.tolist(), h[s : s + len(own) + bound], bound)[0] for s in range(len(h))), default=99)
-            if bound >= 0 and best <= bound:
-                want[d, i] = best
+    want = brute.leaks(docs, listed)
     assert len(want) > 40 and got.keys() <= want.keys() and len(got.keys() & want.keys()) >= 0.98 * len(want)
     kept = {r.doc_id for r in decontaminate.without_leaks(table(spark, docs), benchmark).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def test_short_repetitive_and_unspaced_items(spark):
+    """Every stretch within an item's bound is found, however few pieces the item has."""
+    rng = random.Random(3)
+    words = vocabulary(rng)
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(n))
+    filler = lambda: " ".join(rng.choices(words, k=30))
+    long_han, thai = han(40), "".join(chr(0xE01 + rng.randrange(46)) for _ in range(20))
+    texts = ["Alpha beta gamma", "one two three four", "five words are few enough", "yes", "no way", "a b a b a b a b a b a b", "x x x x x x x x x x", long_han, thai, "", "...", None]
+    texts += [" ".join(rng.choices(words, k=n)) for n in range(3, 10)]
+    items = list(enumerate(texts))
+    docs = [(i, f"{filler()} {t} {filler()}") for i, t in items if t]
+    docs += [(100, "YES!"), (101, "no... way"), (102, "yes no way"), (103, han(20) + long_han[:19] + "的" + long_han[20:] + han(20)), (104, "a b a b a b c b a b a b"), (105, "x " * 500), (106, filler()), (107, None)]
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.leaks(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute.leaks(docs, items)
+    assert {(100, 3), (101, 4), (7, 7), (103, 7), (0, 0), (1, 1), (104, 5)} <= want.keys()
+    assert got == want
+
+
 def _block(text):
     data = np.frombuffer(text.encode(), np.uint8)
     return data, np.array([0, len(data)])
