@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docquarry.llm import decontaminate, fingerprints, language_model, licenses, loser_tree, mixing, near_dedup, quality, suffix_dedup, toxicity, warc
+from docquarry.llm import decontaminate, fingerprints, language_model, licenses, loser_tree, mixing, near_dedup, quality, skew, suffix_dedup, toxicity, warc
 from docquarry.llm.graph import components
 from tests.llm import brute
 
@@ -342,6 +342,59 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archive(spark, last).filter("record_type = 'revisit'").count() == 5
 
 
+def payloads(spark, path):
+    return {r.page_id: bytes(r.payload).decode() for r in warc.resolved(spark, path).collect()}
+
+
+def records_of(spark, path):
+    return {r.page_id: r for r in warc.read_archive(spark, path).collect()}
+
+
+def test_warc_of_an_archive_with_revisits(spark, tmp_path):
+    """Revisits on input keep their payloads, whichever record is the response afterwards."""
+    rows = spark.createDataFrame([(i, f"u{i}", f"page {i // 3}" if i < 9 else "x") for i in range(12)], "page_id long, url string, html string")
+    want = {i: f"page {i // 3}" if i < 9 else "x" for i in range(12)}
+    path = [warc.write_pages(rows, f"file://{tmp_path}/0")]
+    for k, least in enumerate((0, 0, 3, 0), 1):
+        path.append(warc.deduplicate(spark, path[-1], f"file://{tmp_path}/{k}", least))
+        assert payloads(spark, path[-1]) == want
+        kinds = Counter(r.record_type for r in records_of(spark, path[-1]).values())
+        assert kinds == ({"response": 4, "revisit": 8} if not least else {"response": 6, "revisit": 6})
+        assert all(r.refers_to == {0: 0, 1: 3, 2: 6, 3: 9}[i // 3] for i, r in records_of(spark, path[-1]).items() if r.record_type == "revisit")
+
+
+def test_warc_revisits_of_lesser_ids_and_of_other_archives(spark, tmp_path):
+    own = warc.digest(b"here")
+    made = [
+        warc.record("revisit", "urn:a", 1, "ua", "2020-01-01T00:00:00Z", own, 4, refers={"record_id": "urn:b", "url": "ub", "date": "2021-01-01T00:00:00Z", "page_id": 2}),
+        warc.record("response", "urn:b", 2, "ub", "2021-01-01T00:00:00Z", own, 4, b"here"),
+        warc.record("revisit", "urn:c", 3, "uc", "2022-01-01T00:00:00Z", warc.digest(b"elsewhere"), 9, refers={"record_id": "urn:far", "url": "uf", "date": "2019-01-01T00:00:00Z", "page_id": None}),
+    ]
+    first = warc.write_archive(spark.createDataFrame([(r.decode(),) for r in made], "record string"), f"file://{tmp_path}/a")
+    last = warc.deduplicate(spark, first, f"file://{tmp_path}/b")
+    got = records_of(spark, last)
+    assert payloads_of(spark, last) == {1: b"here", 2: b"", 3: b""}
+    assert (got[1].record_type, got[2].record_type, got[2].refers_to, got[2].refers_to_date) == ("response", "revisit", 1, "2020-01-01T00:00:00Z")
+    assert (got[3].record_type, got[3].refers_to_id, got[3].refers_to_url, got[3].date) == ("revisit", "urn:far", "uf", "2022-01-01T00:00:00Z")
+    assert got[2].refers_to_id == got[1].record_id
+
+
+def payloads_of(spark, path):
+    return {r.page_id: bytes(r.payload) for r in warc.read_archive(spark, path, True).collect()}
+
+
+def test_warc_with_hot_payloads_and_dates(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_HOT", 5)
+    monkeypatch.setattr(warc, "HELD_BYTES", 10)
+    rows = spark.createDataFrame([(i, f"u{i}", "same" if i % 4 else f"own {i}") for i in range(60)], "page_id long, url string, html string")
+    rows = rows.withColumn("at", F.expr("timestamp_seconds(page_id)"))
+    first = warc.write_pages(rows, f"file://{tmp_path}/a", date_col="at")
+    last = warc.deduplicate(spark, first, f"file://{tmp_path}/b")
+    assert payloads(spark, last) == {i: "same" if i % 4 else f"own {i}" for i in range(60)}
+    got = records_of(spark, last)
+    assert all((r.record_type == "revisit") == (i % 4 > 0 and i > 1) and r.date == f"1970-01-01T00:00:{i:02}Z" for i, r in got.items())
+
+
 def test_licenses(spark):
     rng = random.Random(1)
     words = vocabulary(rng)
