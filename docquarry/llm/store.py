@@ -25,17 +25,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "snappy").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
 
 
-def drop(spark: SparkSession, *tables: DataFrame) -> None:
+def drop(*tables: DataFrame) -> None:
     """Delete kept tables that nothing will read again."""
-    jvm = spark._jvm
     for t in tables:
-        for f in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            if f.startswith(shared_dir(spark).removeprefix("file://")) or shared_dir(spark).removeprefix("file://") in f:
-                p = jvm.org.apache.hadoop.fs.Path(f)
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tasks(spark: SparkSession) -> int:

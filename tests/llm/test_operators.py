@@ -96,9 +96,60 @@ def test_near_duplicates_of_an_original_with_the_largest_id(spark):
 
 
 def test_near_duplicates_in_blocks(spark, monkeypatch):
-    for name, value in (("MEMBERS", 7), ("SHINGLES", 900), ("SLAB", 50)):
-        monkeypatch.setattr(near_dedup, name, value)
-    test_near_duplicates_of_an_original_with_the_largest_id(spark)
+    """Nodes that branch, and blocks with the largest component on one side."""
+    for members, depth in ((40, 2), (7, 3)):
+        monkeypatch.setattr(near_dedup, "MEMBERS", members)
+        monkeypatch.setattr(near_dedup, "DEPTH", depth)
+        test_near_duplicates_of_an_original_with_the_largest_id(spark)
+
+
+def family(rng, pairs):
+    """Texts that are all alike, each linked with one other only: 0.754 within a pair, 0.739 across."""
+    base = [f"b{i}" for i in range(174)]
+    docs = []
+    for p in range(pairs):
+        pair = [f"p{p}x{i}" for i in range(2)]
+        for k in range(2):
+            docs.append((len(docs), " ".join(base + pair + [f"d{p}y{k}z{i}" for i in range(28)])))
+    rng.shuffle(docs)
+    return docs
+
+
+@pytest.mark.parametrize("members", [2048, 50])
+def test_near_duplicates_in_a_family_of_look_alikes(spark, monkeypatch, members):
+    monkeypatch.setattr(near_dedup, "MEMBERS", members)
+    monkeypatch.setattr(near_dedup, "DEPTH", 3)
+    docs = family(random.Random(1), 200)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, docs)).collect()}
+    assert got == {d: c for d, (_, c) in brute.near_duplicates(docs).items()}
+    assert Counter(Counter(got.values()).values()) == {2: 200}
+
+
+def test_blocks_give_what_their_links_connect():
+    rng = np.random.default_rng(3)
+    for same in (True, False):
+        sets = [np.unique(rng.integers(0, 90, 40)).astype(np.uint64) for _ in range(30)]
+        left, right = (sets, sets) if same else (sets[:12], sets[12:])
+        common = near_dedup._common(left, right, same)
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                assert common[i, j] == len(np.intersect1d(x, y)) or (same and i == j)
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    words = vocabulary(random.Random(2))
+    a, b, c = (" ".join(random.Random(i).choices(words, k=40)) for i in range(3))
+    near = a + " " + words[0]
+    rows = [(1, a), (1, b), (2, b), (1, near), (3, c), (3, c), (None, a), (4, ""), (4, None), (5, a)]
+    results = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = near_dedup.one_of_each(table(spark, rows).repartition(seed + 1)).collect()
+        results.add(tuple(sorted((str(r.doc_id), r.text or "") for r in got)))
+        found = near_dedup.near_duplicates(table(spark, rows)).collect()
+        assert Counter((r.doc_id, r.component_id) for r in found) == {(1, 1): 3, (2, 1): 1, (3, 3): 2, (None, None): 1, (4, 4): 2, (5, 1): 1}
+    (kept,) = results
+    assert kept in {tuple(sorted([("1", x), ("1", b), ("3", c), ("None", a), ("4", "")])) for x in (a, near)}
 
 
 def test_components(spark):
