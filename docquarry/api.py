@@ -83,8 +83,8 @@ class RAGSystem:
         r = self.retriever
         rows = answer(r.index, r.questions(question), r.embedder, _Held(), self.top_k, self.threshold, self.dimension)
         out = rows.first().asDict(recursive=True)
-        out["answer"] = self.generator.generate(out.pop("prompt"))  # on the driver, once
-        out.pop("qid")
+        out["answer"] = self.generator.generate(out.pop("prompt"))  # on the driver, once; what fails raises
+        out.pop("qid"), out.pop("error")
         return out
 
 
@@ -92,7 +92,7 @@ class _Held:
     """Leaves the answer open."""
 
     def column(self, prompt, chunks):
-        return F.lit(None).cast("string")
+        return F.struct(F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("error"))
 
 
 def build_retriever_from_pages(pages: DataFrame, embedder: Embedder | None = None, chunk_size: int = Config.chunk_size, chunk_overlap: int = Config.chunk_overlap) -> Retriever:

@@ -9,12 +9,10 @@ from docquarry.config import Config
 
 STOP = {"quit", "exit", "q"}
 SUGGESTIONS = (
-    "What was the revenue in 2024?",
-    "Which products are on sale?",
-    "Who is the chief executive?",
-    "How many people work for the firm?",
-    "What are the main risks?",
-    "What is the outlook for 2025?",
+    "When does the ferry leave the quay at Lindvik?",
+    "Who is in charge of the mist nets?",
+    "Where is fuel for the dinghy stored?",
+    "Which channel does the coast guard answer on?",
 )
 
 

@@ -24,11 +24,16 @@ class Config:
     question_block_bytes: int = 16 << 20
 
     def __post_init__(self):
-        if not 0 <= self.confidence_threshold <= 1:
-            raise ValueError("the confidence threshold lies between 0 and 1")
+        check_threshold(self.confidence_threshold)
         check_top_k(self.top_k)
 
 
+def check_threshold(threshold: float) -> float:
+    if not 0 <= threshold <= 1:
+        raise ValueError(f"the confidence threshold lies between 0 and 1, not at {threshold}")
+    return threshold
+
+
 def check_top_k(k: int) -> int:
     if k < 1:
         raise ValueError(f"top_k must be at least 1, not {k}")

@@ -29,13 +29,14 @@ class HashedEmbedder:
     """Counts of hashed words, scaled to length 1.
 
     Deterministic and without a model, for tests and for lexical retrieval: it
-    finds shared words, not shared meaning.
+    finds shared words, not shared meaning. With unit=False vectors are the
+    counts, whole numbers, to be searched with scale=True.
     """
 
-    def __init__(self, dimension: int = Config.embedding_dimension):
+    def __init__(self, dimension: int = Config.embedding_dimension, unit: bool = True):
         if dimension < 1:
             raise ValueError(f"a dimension must be positive, not {dimension}")
-        self.name, self.dimension = f"hashed-{dimension}", dimension
+        self.name, self.dimension, self.unit = f"hashed-{dimension}", dimension, unit
 
     def buckets(self, text: Column) -> Column:
         """The bucket of every word."""
@@ -64,7 +65,7 @@ class HashedEmbedder:
         return spread(self.buckets(text))
 
     def column(self, text: Column) -> Column:
-        return self.counts(text, unit=True)
+        return self.counts(text, self.unit)
 
 
 _models: dict[str, object] = {}

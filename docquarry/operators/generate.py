@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -17,7 +17,7 @@ from docquarry.errors import GenerationError
 #: (class, pattern in the lower-cased message, what the user is told), first match wins.
 CLASSES = (
     ("bad_key", r"api key|401|403", "The API key was rejected. Check it and try again."),
-    ("rate_limit", r"429|quota|\brate\b", "The service's limit of requests is reached. Try again later."),
+    ("rate_limit", r"429|quota|(^|[^a-z])rate([^a-z]|$)", "The service's limit of requests is reached. Try again later."),
 )
 CLIENT, SERVER, OTHER = "The service refused the request.", "The service is not available. Try again later.", "The answer could not be generated."
 
@@ -41,13 +41,26 @@ def explain(message: str, kind: str = "client") -> str:
 
 
 class Generator(Protocol):
-    """`generate` answers one prompt; `column` answers a column of them."""
+    """`generate` answers one prompt or raises; `column` gives a struct (answer, error) for each of a column of them."""
 
     def generate(self, prompt: str) -> str: ...
 
     def column(self, prompt: Column, chunks: Column) -> Column: ...
 
 
+def answered(batches: Iterator[pd.Series], generate: Callable[[str], str]) -> Iterator[pd.DataFrame]:
+    """(answer, error) of prompts: a call that fails costs its own row only."""
+
+    def one(prompt: str) -> tuple[str | None, str | None]:
+        try:
+            return generate(prompt), None
+        except GenerationError as e:
+            return None, str(e)
+
+    for prompts in batches:
+        yield pd.DataFrame([one(p) for p in prompts], columns=["answer", "error"])
+
+
 class Extractive:
     """Answers with the text of the best hit. Needs no model and no network."""
 
@@ -58,7 +71,8 @@ class Extractive:
         return found[1].strip() if found else self.NOTHING
 
     def column(self, prompt: Column, chunks: Column) -> Column:
-        return F.coalesce(F.try_element_at(chunks, F.lit(1))["text"], F.lit(self.NOTHING))
+        best = F.coalesce(F.try_element_at(chunks, F.lit(1))["text"], F.lit(self.NOTHING))
+        return F.struct(best.alias("answer"), F.lit(None).cast("string").alias("error"))
 
 
 def api_key(variable: str = "GEMINI_API_KEY") -> str:
@@ -79,12 +93,16 @@ class Gemini:
         except ImportError as e:
             raise ImportError("the google-genai package is needed for this generator") from e
 
-    def generate(self, prompt: str) -> str:
+    def client(self):
         from google import genai
+
+        return genai.Client(api_key=self.key)
+
+    def generate(self, prompt: str, client=None) -> str:
         from google.genai import errors, types
 
         try:
-            client = genai.Client(api_key=self.key)
+            client = client or self.client()
             reply = client.models.generate_content(model=self.model, contents=prompt, config=types.GenerateContentConfig(temperature=Config.temperature))
         except errors.ClientError as e:
             raise GenerationError(explain(str(e))) from e
@@ -98,12 +116,12 @@ class Gemini:
 
     def column(self, prompt: Column, chunks: Column) -> Column:
 
-        generate = self.generate
+        own = self
 
-        @F.pandas_udf("string")
-        def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for prompts in batches:
-                yield prompts.map(generate)
+        @F.pandas_udf("answer string, error string")
+        def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            client = own.client()  # one for all batches of a task
+            yield from answered(batches, lambda p: own.generate(p, client))
 
         return answer(prompt)
 

@@ -37,14 +37,19 @@ def metadata(pages: DataFrame, chunks: DataFrame, dimension: int, filenames: Dat
     """
     page_counts = pages.groupBy("doc_id").agg(F.count("*").alias("page_count"))
     chunk_counts = chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
-    out = page_counts.join(chunk_counts, "doc_id", "left").select(
+    out = counted(page_counts.join(chunk_counts, "doc_id", "left"), dimension)
+    return out if filenames is None else out.join(filenames.select("doc_id", "filename"), "doc_id", "left")
+
+
+def counted(counts: DataFrame, dimension: int) -> DataFrame:
+    """metadata() of documents whose pages and chunks are counted (doc_id, page_count, chunk_count)."""
+    return counts.select(
         "doc_id",
         "page_count",
         F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"),
         F.lit(dimension).alias("embedding_dimension"),
         F.when(F.col("chunk_count") > 0, "ready").otherwise("empty").alias("status"),
     )
-    return out if filenames is None else out.join(filenames.select("doc_id", "filename"), "doc_id", "left")
 
 
 def with_fingerprint(files: DataFrame, name: str = "filename", content: str = "content") -> DataFrame:

@@ -39,6 +39,11 @@ def packed_pages(paragraphs: Column, target: int = Config.page_target) -> Column
     return F.aggregate(paragraphs, state(F.array().cast("array<array<string>>"), empty, F.lit(0)), add, close)
 
 
+def texts_of_pages(paragraphs: Column, target: int = Config.page_target) -> Column:
+    """The texts of the pages that an array of paragraphs makes, with blank lines between paragraphs."""
+    return F.transform(packed_pages(paragraphs, target), lambda page: F.array_join(page, "\n\n"))
+
+
 def pages_of_paragraphs(docs: DataFrame, paragraphs: str = "paragraphs", target: int = Config.page_target) -> DataFrame:
     """(doc_id, paragraphs) -> doc_id, page_number, text: paragraphs with blank lines between."""
     pages = docs.select("doc_id", F.posexplode(packed_pages(F.col(paragraphs), target)).alias("i", "page"))

@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from docquarry.functions.text import three_places
 
 NO_CONTEXT = "(no passages were found)"
-ROLE = "You answer questions about a collection of documents."
+ROLE = "A reader has a question, and a search has found the passages below for it."
 RULES = (
-    "Use only the passages below.",
-    "If they do not hold the answer, say that it is not available in the documents.",
-    "Do not guess and do not add facts of your own.",
-    "Keep the answer short and to the point.",
-    "Quote numbers, names and dates as they are written.",
+    "Answer in one or two sentences, in the language of the question.",
+    "Copy figures, names and dates letter by letter from the passages.",
+    "Every statement has to be in a passage: what none of them says stays unsaid.",
+    "Where the passages leave the question open, reply that the documents do not answer it.",
 )
-NOTE = "Note: the passages may have little to do with the question. Say so if they do not answer it."
+NOTE = "The search is unsure of these passages. Check that they are about the question at all before they are used."
 INTRO = ROLE + "\n\nRules:\n" + "\n".join(f"{i}. {r}" for i, r in enumerate(RULES, 1)) + "\n"
 CUE = "Answer:"
 

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,22 +34,20 @@ def valid_questions(questions: DataFrame, column: str = "question") -> DataFrame
 
 
 def _blocks(queries: DataFrame, limit: int) -> Iterator[list]:
-    """(qid, embedding) rows, about `limit` bytes at a time."""
-    block, size = [], 0
-    for row in queries.select("qid", "embedding").toLocalIterator():
+    """(qid, embedding) rows of one width, about `limit` bytes at a time; those without a vector are left out."""
+    held: dict[int, list] = {}
+    for row in queries.select("qid", "embedding").filter("size(embedding) > 0").toLocalIterator():
+        block = held.setdefault(len(row.embedding), [])
         block.append(row)
-        size += 8 * len(row.embedding or []) + 16
-        if size >= limit:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+        if len(block) * (8 * len(row.embedding) + 16) >= limit:
+            yield held.pop(len(row.embedding))
+    yield from held.values()
 
 
 def ranked(scores: DataFrame, k: int, ties: list[str]) -> DataFrame:
     """(qid, similarity, ...) -> its k best rows by question, with rank from 1. NaN is never a hit."""
     best = Window.partitionBy("qid").orderBy(F.desc("similarity"), *ties)
-    return scores.filter(~F.isnan("similarity")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return scores.filter(F.col("similarity").isNotNull() & ~F.isnan("similarity")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def _batch_top(ids: np.ndarray, vectors: np.ndarray, k: int, ties: list[np.ndarray], scale: bool):
@@ -86,9 +85,10 @@ def _arrow_scores(block, k: int, ties: list[str], scale: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = block.value
         for batch in batches:
+            at = batch.schema.get_field_index("embedding")
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(at)), vectors.shape[1]))
             if not batch.num_rows:
                 continue
-            at = batch.schema.get_field_index("embedding")
             order = [np.asarray(batch.column(batch.schema.get_field_index(t))) for t in ties]
             q, row, score = _batch_top(ids, vectors, k, order, scale)(_dense(batch.column(at)))
             rest = batch.drop_columns(["embedding"]).take(pa.array(row))
@@ -103,7 +103,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = Config.top_k, ties:
     qid, the columns of vectors but for embedding, similarity, rank. Equal
     similarities are ranked by the `ties` columns. If there are fewer than k
     rows, all are ranked. `scale` divides by both lengths, for vectors that are
-    not of length 1 ("arrow" only). Rows without a vector are no hits.
+    not of length 1 ("arrow" only). Rows without a vector, or with one of another
+    width than the query's, are no hits; a query without a vector has none.
     """
     check_top_k(k)
     if how not in ("arrow", "expression"):
@@ -119,11 +120,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = Config.top_k, ties:
     for rows in _blocks(queries, block_bytes):
         if how == "arrow":
             ids = np.array([r.qid for r in rows])
-            data = np.array([r.embedding for r in rows], np.float64)
+            data = np.array([[np.nan if x is None else x for x in r.embedding] for r in rows], np.float64)
             part = vectors.mapInArrow(_arrow_scores(spark.sparkContext.broadcast((ids, data)), k, ties, scale), schema)
         else:
             block = spark.createDataFrame([(r.qid, list(r.embedding)) for r in rows], T.StructType([T.StructField("qid", qid_type), T.StructField("q", T.ArrayType(T.FloatType()))]))
-            part = vectors.join(F.broadcast(block)).select("qid", *rest, dot(F.col("q"), F.col("embedding")).alias("similarity"))
+            part = vectors.join(F.broadcast(block), F.size("q") == F.size("embedding")).select("qid", *rest, dot(F.col("q"), F.col("embedding")).alias("similarity"))
         out = part if out is None else out.union(part)
     if out is None:
         out = spark.createDataFrame([], schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,21 +11,22 @@ from pyspark.sql import functions as F
 
 from docquarry.config import Config
 from docquarry.functions.text import collapse, fingerprint, suffix
-from docquarry.functions.vectors import norm
+from docquarry.functions.vectors import norm, normalised
 from docquarry.operators.answer import answer
-from docquarry.operators.chunk import chunk_pages
+from docquarry.operators.chunk import chunk_documents, count_chunks
 from docquarry.operators.embed import HashedEmbedder
 from docquarry.operators.generate import Extractive, error_class
-from docquarry.operators.index import metadata, new_files
+from docquarry.operators.index import counted, embed_chunks, new_files, replaced
 from docquarry.operators.paginate import paragraphs, table_row
 from docquarry.operators.prompt import context, gathered, prompt, source_pages
 from docquarry.operators.search import best_similarity, search
-from docquarry.operators.views import chunk_view, embedding_view, history_view
+from docquarry.operators.views import answer_view, chunk_view, embedding_view, history_view, source_view
 from docquarry.plans.oracles import ORACLES
 from docquarry.sources.docx import make_docx
 from docquarry.sources.files import load_docx, load_pdfs, route
 from docquarry.sources.pdf import make_pdf
-from docquarry.sources.tables import paged, questions, single_pages
+from docquarry.sources.tables import paged, questions, with_pages
+from docquarry.sources.shared import shared_dir
 from docquarry.streaming.ingest import ingest_tables
 
 #: The vectors that ask in the knn queries: those whose id is divisible by this.
@@ -57,33 +57,41 @@ def pseudo_pages(spark, sf_dir):
     return _long(paged(_docs(spark, sf_dir)), "page_number")
 
 
-def _chunks(pages, size=Config.chunk_size, overlap=Config.chunk_overlap):
-    return _long(chunk_pages(pages, size, overlap), "chunk_id", "page_number", "start")
+def _chunks(docs, size=Config.chunk_size, overlap=Config.chunk_overlap):
+    return _long(chunk_documents(docs, size, overlap), "chunk_id", "page_number", "start")
 
 
 def chunks(spark, sf_dir):
-    return _chunks(single_pages(_docs(spark, sf_dir)))
+    return _chunks(with_pages(_docs(spark, sf_dir), single=True))
 
 
 def chunks_small(spark, sf_dir):
-    return _chunks(single_pages(_docs(spark, sf_dir)), 120, 40)
+    return _chunks(with_pages(_docs(spark, sf_dir), single=True), 120, 40)
 
 
 def chunks_no_overlap(spark, sf_dir):
-    return _chunks(single_pages(_docs(spark, sf_dir)), 500, 0)
+    return _chunks(with_pages(_docs(spark, sf_dir), single=True), 500, 0)
 
 
 def chunks_by_page(spark, sf_dir):
-    return _chunks(paged(_docs(spark, sf_dir)))
+    return _chunks(with_pages(_docs(spark, sf_dir)))
 
 
 def doc_metadata(spark, sf_dir):
-    pages = paged(_docs(spark, sf_dir))
-    return _long(metadata(pages, chunk_pages(pages), Config.embedding_dimension), "embedding_dimension")
+    counts = count_chunks(with_pages(_docs(spark, sf_dir))).filter("page_count > 0")
+    return _long(counted(counts, Config.embedding_dimension), "embedding_dimension")
 
 
-def chunk_sizes(spark, sf_dir):
-    return _long(chunk_view(chunk_pages(single_pages(_docs(spark, sf_dir)))).drop("text"), "chunk_id", "page_number", "n_chars")
+def shown_chunks(spark, sf_dir):
+    return _long(chunk_view(chunk_documents(with_pages(_docs(spark, sf_dir), single=True))), "chunk_id", "page_number", "n_chars")
+
+
+def replaced_documents(spark, sf_dir):
+    """Chunks of which those of every third document are replaced by those of its first line."""
+    docs = _docs(spark, sf_dir)
+    fresh = docs.filter("doc_id % 3 = 0").select("doc_id", F.split("text", "\n")[0].alias("text"))
+    made = lambda d: _chunks(with_pages(d, single=True))
+    return replaced(made(docs), made(fresh))
 
 
 def table_rows(spark, sf_dir):
@@ -102,11 +110,18 @@ def vector_norms(spark, sf_dir):
     return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm(F.col("embedding")), 6).alias("norm"))
 
 
-def _knn(k: int, how: str = "expression", corpus: str = "true"):
+def unit_vectors(spark, sf_dir):
+    """Vectors scaled by their ids, and back to length 1."""
+    grown = F.transform("embedding", lambda x: (x.cast("double") * (F.col("vec_id") + 1)).cast("float"))
+    unit = _table(spark, sf_dir, "embeddings").select("vec_id", normalised(grown).alias("u"))
+    return unit.select("vec_id", F.round(norm(F.col("u")), 6).alias("norm"), F.round(F.col("u")[0].cast("double"), 5).alias("first"))
+
+
+def _knn(k: int):
     def run(spark, sf_dir):
         vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
         asking = vectors.filter(F.col("vec_id") % QUERY_EVERY == 0).select(F.col("vec_id").alias("qid"), "embedding")
-        hits = search(vectors.filter(corpus), asking, k, ["vec_id"], how)
+        hits = search(vectors, asking, k, ["vec_id"])
         return _long(hits.select("qid", "vec_id", "rank", F.round("similarity", 6).alias("similarity")), "rank")
 
     return run
@@ -115,7 +130,8 @@ def _knn(k: int, how: str = "expression", corpus: str = "true"):
 def _best(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     asking = vectors.filter(F.col("vec_id") % QUERY_EVERY == 0).select(F.col("vec_id").alias("qid"), "embedding")
-    near = search(vectors.filter(F.col("vec_id") % QUERY_EVERY != 0), asking, 1, ["vec_id"], "expression")
+    # of a vector's two best, one at least is another's
+    near = search(vectors, asking, 2, ["vec_id"]).filter("vec_id <> qid")
     return best_similarity(asking, near, 0.5).withColumn("best_similarity", F.round("best_similarity", 6))
 
 
@@ -132,7 +148,7 @@ def _asked(spark, sf_dir):
 def _hits(spark, sf_dir, k: int = Config.top_k):
     """Benchmark passages as questions over all chunks; counts are whole numbers, so that scores are exact."""
     e = HashedEmbedder()
-    chunked = chunk_pages(paged(_docs(spark, sf_dir)))
+    chunked = chunk_documents(with_pages(_docs(spark, sf_dir)))
     index = chunked.select("doc_id", "chunk_id", "page_number", "text", e.counts(F.col("text")).alias("embedding"))
     asked = _asked(spark, sf_dir).select("qid", e.counts(F.col("question")).alias("embedding"))
     return search(index, asked, k, ["doc_id", "chunk_id"], "arrow", scale=True)
@@ -156,11 +172,25 @@ def prompts(spark, sf_dir):
     return rows.select("qid", prompt(F.col("question"), context(F.col("chunks")), low).alias("prompt"))
 
 
+def _answers(spark, sf_dir):
+    e = HashedEmbedder(unit=False)
+    index = embed_chunks(chunk_documents(with_pages(_docs(spark, sf_dir))), e)
+    return answer(index, _asked(spark, sf_dir), e, Extractive(), threshold=0.6, scale=True)
+
+
 def extractive_answers(spark, sf_dir):
-    e = HashedEmbedder()
-    index = chunk_pages(paged(_docs(spark, sf_dir))).withColumn("embedding", e.column(F.col("text")))
-    rows = answer(index, _asked(spark, sf_dir), e, Extractive())
-    return rows.select("qid", "question", "answer", F.col("num_retrieved_chunks").cast("long").alias("n"), "low_confidence")
+    rows = _answers(spark, sf_dir).withColumn("best_similarity", F.round("best_similarity", 9))
+    return rows.select("qid", "question", "answer", "error", F.array_join("sources", ",").alias("sources"), F.col("num_retrieved_chunks").cast("long").alias("n"), "best_similarity", "low_confidence")
+
+
+def answers_shown(spark, sf_dir):
+    rows = answer_view(_answers(spark, sf_dir)).withColumn("best_similarity", F.round("best_similarity", 9))
+    return _long(rows, "top_k", "num_retrieved_chunks", "embedding_dimension")
+
+
+def sources_shown(spark, sf_dir):
+    rows = source_view(_answers(spark, sf_dir)).withColumn("similarity", F.round("similarity", 9))
+    return _long(rows, "rank", "chunk_id", "page_number")
 
 
 def route_by_extension(spark, sf_dir):
@@ -193,7 +223,7 @@ def history(spark, sf_dir):
 
 MESSAGES = (
     "API key not valid", "401 Unauthorized", "HTTP 403", "429 Too Many Requests", "Quota exceeded", "the rate is too high",
-    "generate_content failed", "bad request", "RATE limit", "moderate load",
+    "generate_content failed", "bad request", "RATE limit", "moderate load", "RATE_LIMIT_EXCEEDED",
 )
 
 
@@ -211,9 +241,15 @@ def _made(make: Callable[[str], bytes]):
     return run
 
 
+def _word_file(text: str) -> bytes:
+    """Paragraphs for the lines, but the second: a table of its words, which is read after all paragraphs."""
+    lines = text.split("\n")
+    return make_docx(lines[:1] + lines[2:], [[lines[1].split(" ")]] if len(lines) > 1 else [])
+
+
 def docx_pages(spark, sf_dir):
-    """Documents written as Word files and read again."""
-    files = _docs(spark, sf_dir).mapInArrow(_made(lambda t: make_docx(t.split("\n"))), "doc_id long, content binary")
+    """Documents written as Word files, with a table, and read again."""
+    files = _docs(spark, sf_dir).mapInArrow(_made(_word_file), "doc_id long, content binary")
     pages, _ = load_docx(files)
     return _long(pages, "doc_id", "page_number")
 
@@ -226,8 +262,7 @@ def pdf_pages(spark, sf_dir):
 
 
 def stream_ingest(spark, sf_dir):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docquarry-")
-    to = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    to = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     ingest_tables(spark, sf_dir, _docs(spark, sf_dir).schema, f"{to}/chunks", f"{to}/checkpoint", "documents.parquet").awaitTermination()
     return _long(spark.read.parquet(f"{to}/chunks").drop("batch"), "chunk_id", "page_number", "start")
 
@@ -245,16 +280,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunks_no_overlap": chunks_no_overlap,
     "chunks_by_page": chunks_by_page,
     "doc_metadata": doc_metadata,
-    "chunk_view": chunk_sizes,
+    "chunk_view": shown_chunks,
+    "replaced": replaced_documents,
     "table_rows": table_rows,
     "embedding_view": vectors_shown,
     "vector_norms": vector_norms,
+    "unit_vectors": unit_vectors,
     "knn_k1": _knn(1),
     "knn_k3": _knn(3),
     "knn_k5": _knn(5),
     "knn_k10": _knn(10),
-    "knn_arrow": _knn(3, "arrow"),
-    "knn_k_exceeds_corpus": _knn(10, corpus="vec_id < 4"),
     "best_similarity": _best,
     "hashed_embedding": hashed_embedding,
     "retrieve_benchmark": retrieve_benchmark,
@@ -262,6 +297,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "context_block": context_blocks,
     "prompt": prompts,
     "extractive_answer": extractive_answers,
+    "answer_view": answers_shown,
+    "source_view": sources_shown,
     "route_by_extension": route_by_extension,
     "fingerprint": fingerprints_of_files,
     "new_documents_only": new_documents_only,

@@ -22,8 +22,15 @@ def _quoted(x: str) -> str:
 _PARAGRAPHS = f"""paras AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS para_no, p AS text
   FROM (SELECT doc_id, i, {_strip("l")} AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) WHERE length(p) > 0)"""
 
-#: Pages of paragraphs: each closes when its paragraphs hold 1500 characters.
-_PAGES = f"""{_PARAGRAPHS},
+#: Paragraphs of Word files: the second line is a table of one row, which comes last.
+_CELLS = f"array_to_string(list_filter(list_transform(string_split(l, ' '), lambda c: {_strip('c')}), lambda c: c <> ''), ' | ')"
+_WORD_PARAGRAPHS = f"""paras AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i = 2, i) AS para_no, p AS text
+  FROM (SELECT doc_id, i, CASE WHEN i = 2 THEN {_CELLS} ELSE {_strip("l")} END AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) WHERE length(p) > 0)"""
+
+
+def _pages(paragraphs: str) -> str:
+    """CTEs that end in pages_of: each page closes when its paragraphs hold 1500 characters."""
+    return f"""{paragraphs},
 fold(doc_id, para_no, page_number, n) AS (
   SELECT doc_id, para_no, 1::BIGINT, length(text)::BIGINT FROM paras WHERE para_no = 1
   UNION ALL
@@ -34,6 +41,9 @@ pages_of AS (SELECT f.doc_id, f.page_number, string_agg(p.text, chr(10) || chr(1
   FROM fold f JOIN paras p USING (doc_id, para_no) GROUP BY ALL)"""
 
 
+_PAGES = _pages(_PARAGRAPHS)
+
+
 def _chunks(source: str, size: int = 500, overlap: int = 50) -> str:
     """CTEs that end in chunks, of source (doc_id, page_number, text)."""
     step = size - overlap
@@ -63,14 +73,18 @@ hits AS (SELECT s.*, c.page_number, c.text FROM (SELECT *, row_number() OVER (PA
 _CONTEXT = "string_agg('[Page ' || page_number || ' | similarity ' || printf('%.3f', similarity) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)"
 
 
-def _knn(k: int, corpus: str = "true") -> str:
+def _knn(k: int) -> str:
     return f"""WITH s AS (SELECT q.vec_id AS qid, e.vec_id, list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS sim
-  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.{corpus})
-SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank, round(sim, 6) AS similarity FROM s QUALIFY rank <= {k}""".replace("e.true", "true")
+  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)
+SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank, round(sim, 6) AS similarity FROM s QUALIFY rank <= {k}"""
+
+
+_ANSWERS = f"""{_HITS},
+answers AS (SELECT qid, any_value(question) AS question, min_by(text, rank) AS answer, list_sort(list_distinct(list(page_number))) AS pages, count(*) AS n, max(similarity) AS best FROM hits JOIN asked USING (qid) GROUP BY qid)"""
 
 
 _EXT = "lower(regexp_extract(name, '[^/.][^/]*(\\.[^./]+)$', 1))"
-_MESSAGES = ("API key not valid", "401 Unauthorized", "HTTP 403", "429 Too Many Requests", "Quota exceeded", "the rate is too high", "generate_content failed", "bad request", "RATE limit", "moderate load")
+_MESSAGES = ("API key not valid", "401 Unauthorized", "HTTP 403", "429 Too Many Requests", "Quota exceeded", "the rate is too high", "generate_content failed", "bad request", "RATE limit", "moderate load", "RATE_LIMIT_EXCEEDED")
 
 ORACLES: dict[str, str] = {
     "clean_text": f"SELECT doc_id, {_clean('text')} AS text FROM documents",
@@ -84,19 +98,23 @@ ORACLES: dict[str, str] = {
     "doc_metadata": f"""WITH RECURSIVE {_PAGES}, {_chunks("pages_of")}
 SELECT doc_id, p.n AS page_count, coalesce(c.n, 0) AS chunk_count, 256::BIGINT AS embedding_dimension, CASE WHEN c.n > 0 THEN 'ready' ELSE 'empty' END AS status
 FROM (SELECT doc_id, count(*) AS n FROM pages_of GROUP BY doc_id) p LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) c USING (doc_id)""",
-    "chunk_view": f"WITH {_chunks(_SINGLE)} SELECT doc_id, chunk_id, page_number, length(text) AS n_chars FROM chunks",
+    "chunk_view": f"WITH {_chunks(_SINGLE)} SELECT doc_id, chunk_id, page_number, length(text) AS n_chars, text FROM chunks",
+    "replaced": f"""WITH old AS (WITH {_chunks(_SINGLE)} SELECT {_CHUNK_COLUMNS} FROM chunks),
+fresh AS (WITH {_chunks("(SELECT doc_id, 1::BIGINT AS page_number, string_split(text, chr(10))[1] AS text FROM documents WHERE doc_id % 3 = 0)")} SELECT {_CHUNK_COLUMNS} FROM chunks)
+SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM fresh) UNION ALL SELECT * FROM fresh""",
     "table_rows": f"SELECT page_id, page_id || CASE WHEN length({_strip('url')}) > 0 THEN ' | ' || {_strip('url')} ELSE '' END AS line FROM pages",
     "embedding_view": """SELECT vec_id, len(embedding) AS dimension, 'float' AS dtype,
   array_to_string(list_transform(list_slice(embedding, 1, 10), lambda x: round(x::DOUBLE * 1000000, 0)::BIGINT), ',') AS first_values FROM embeddings""",
     "vector_norms": "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings",
+    "unit_vectors": """WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE * (vec_id + 1))::FLOAT)::DOUBLE[] AS g FROM embeddings),
+u AS (SELECT vec_id, list_transform(g, lambda x: (x / sqrt(list_inner_product(g, g)))::FLOAT)::DOUBLE[] AS u FROM g)
+SELECT vec_id, round(sqrt(list_inner_product(u, u)), 6) AS norm, round(u[1], 5) AS first FROM u""",
     "knn_k1": _knn(1),
     "knn_k3": _knn(3),
     "knn_k5": _knn(5),
     "knn_k10": _knn(10),
-    "knn_arrow": _knn(3),
-    "knn_k_exceeds_corpus": _knn(10, "vec_id < 4"),
     "best_similarity": """WITH s AS (SELECT q.vec_id AS qid, max(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS best
-  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.vec_id % 100 <> 0 GROUP BY ALL)
+  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id GROUP BY ALL)
 SELECT qid, round(best, 6) AS best_similarity, best < 0.5 AS low_confidence FROM s""",
     "hashed_embedding": f"WITH {_counts('c', 'doc_id', 'documents', 'text')} SELECT * FROM c",
     "retrieve_benchmark": f"WITH RECURSIVE {_HITS} SELECT qid, doc_id, chunk_id, page_number, rank, round(similarity, 9) AS similarity FROM hits",
@@ -108,6 +126,12 @@ SELECT qid, round(best, 6) AS best_similarity, best < 0.5 AS low_confidence FROM
 SELECT qid, {_quoted(INTRO)} || CASE WHEN max(similarity) < 0.6 THEN chr(10) || {_quoted(NOTE)} || chr(10) ELSE '' END || chr(10) || 'Passages:' || chr(10) || {_CONTEXT}
   || chr(10) || chr(10) || 'Question:' || chr(10) || any_value(question) || chr(10) || chr(10) || {_quoted(CUE)} AS prompt
 FROM hits JOIN asked USING (qid) GROUP BY qid""",
+    "extractive_answer": f"""WITH RECURSIVE {_ANSWERS}
+SELECT qid, question, answer, NULL::VARCHAR AS error, array_to_string(pages, ',') AS sources, n, round(best, 9) AS best_similarity, best < 0.6 AS low_confidence FROM answers""",
+    "answer_view": f"""WITH RECURSIVE {_ANSWERS}
+SELECT qid, question, answer, array_to_string(pages, ', ') AS pages, round(best, 9) AS best_similarity, best < 0.6 AS low_confidence, 0.6::DOUBLE AS confidence_threshold,
+  3::BIGINT AS top_k, n AS num_retrieved_chunks, 256::BIGINT AS embedding_dimension FROM answers""",
+    "source_view": f"WITH RECURSIVE {_HITS} SELECT qid, rank, doc_id, chunk_id, page_number, round(similarity, 9) AS similarity, text FROM hits",
     "route_by_extension": f"""WITH n AS (SELECT page_id, 'files/report' || page_id || ['.pdf', '.PDF', '.docx', '.txt', '', '.tar.DocX'][page_id % 6 + 1] AS name FROM pages)
 SELECT page_id, name, {_EXT} AS ext, CASE WHEN {_EXT} IN ('.pdf', '.docx') THEN substr({_EXT}, 2) ELSE 'unsupported' END AS route FROM n""",
     "fingerprint": "SELECT doc_id, sha256('document' || doc_id || text) AS fingerprint FROM documents",
@@ -116,8 +140,8 @@ SELECT page_id, name, {_EXT} AS ext, CASE WHEN {_EXT} IN ('.pdf', '.docx') THEN
     "history_view": """SELECT conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n,
   CASE WHEN length(text) > 80 THEN substring(text, 1, 80) || '...' ELSE text END AS label, 'Page 2, Page 7' AS pages FROM conversations WHERE role = 'user'""",
     "llm_error_class": f"""SELECT i, message, CASE WHEN regexp_matches(lower(message), 'api key|401|403') THEN 'bad_key'
-  WHEN regexp_matches(lower(message), '429|quota|\\brate\\b') THEN 'rate_limit' ELSE 'client' END AS class FROM (VALUES {", ".join(f"({i}::BIGINT, {_quoted(m)})" for i, m in enumerate(_MESSAGES))}) t(i, message)""",
-    "docx_pages": f"WITH RECURSIVE {_PAGES} SELECT * FROM pages_of",
+  WHEN regexp_matches(lower(message), '429|quota') OR list_contains(string_split_regex(lower(message), '[^a-z]+'), 'rate') THEN 'rate_limit' ELSE 'client' END AS class FROM (VALUES {", ".join(f"({i}::BIGINT, {_quoted(m)})" for i, m in enumerate(_MESSAGES))}) t(i, message)""",
+    "docx_pages": f"WITH RECURSIVE {_pages(_WORD_PARAGRAPHS)} SELECT * FROM pages_of",
     "pdf_pages": f"""SELECT doc_id, i AS page_number, {_strip("l")} AS text
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""",
 }

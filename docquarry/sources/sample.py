@@ -1,22 +1,19 @@
-"""A sample document: twelve pages of an annual report, one topic to a page."""
+"""A sample document: the handbook of an invented bird observatory, a topic to a page."""
 
 from __future__ import annotations
 
 from docquarry.sources.pdf import make_pdf
 
 PAGES = (
-    ["Company overview", "The firm was founded in 1985. Its head office is in Austin, Texas."],
-    ["Products and services", "Three products are on sale: CloudLedger for accounting, TeamSync for", "collaboration and DataPulse for reporting."],
-    ["Leadership", "Maria Chen is the chief executive. She joined the firm in 2019."],
-    ["Staff", "At the end of 2024 the firm employed 1,240 people."],
-    ["Research", "Spending on research and development came to $18.5 million in 2024."],
-    ["Customers", "More than 42,000 customers were served in 2024, after 31,000 in 2023."],
-    ["Results for 2024", "Revenue in 2024 reached $127.4 million."],
-    ["Earlier years", "In 2023 revenue was $104.3 million; in 2022 it was $89.7 million."],
-    ["Risks", "Strong competition, currency swings and cybersecurity are the main risks."],
-    ["Outlook", "For 2025 the board expects growth between 15 and 18 percent."],
-    ["Sustainability", "Renewable sources covered 68% of the energy used in offices."],
-    ["Contacts", "Investors: investors@example.com. Press: press@example.com."],
+    ["Getting there", "The ferry to Skarrholm leaves the quay at Lindvik at 07:40 and 16:15.", "Bring boots: the path from the jetty floods at spring tide."],
+    ["Ringing", "Nets are opened half an hour before sunrise and checked every twenty minutes.", "Ringer in charge is Tove Aalberg, who took over the mist nets in 2011."],
+    ["Records", "The island list stands at 287 species. The last addition was a booted warbler."],
+    ["Keeping the boat", "Fuel for the dinghy is stored behind the smokehouse, never in the boathouse.", "The outboard needs two-stroke oil at a ratio of fifty to one."],
+    ["Power and water", "Eleven solar panels feed the batteries. The well gives 600 litres a day in July."],
+    ["Visitors", "Bunks cost 18 crowns a night. 412 people stayed over during the spring of 2019.", "In the spring of 2018 there were 355 of them."],
+    ["Seals", "Grey seals pup on the northern skerries from late February; keep 200 metres away."],
+    ["If something goes wrong", "The coast guard answers on channel 16. The first-aid box hangs by the stove."],
+    ["Leaving", "Sweep the dormitory, empty the stove and sign the logbook before the boat comes."],
 )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.operators.paginate import pages_of_paragraphs, paragraphs_of
+from docquarry.operators.paginate import pages_of_paragraphs, paragraphs_of, texts_of_pages
 from docquarry.operators.search import valid_questions
 
 
@@ -20,6 +20,12 @@ def paged(docs: DataFrame, text: str = "text", target: int | None = None) -> Dat
     return pages_of_paragraphs(rows, **({"target": target} if target else {}))
 
 
+def with_pages(docs: DataFrame, text: str = "text", single: bool = False) -> DataFrame:
+    """(doc_id, pages): the texts of a document's pages, packed from its lines or, if single, one."""
+    pages = F.array(F.coalesce(F.col(text), F.lit(""))) if single else texts_of_pages(paragraphs_of(F.col(text)))
+    return docs.select("doc_id", pages.alias("pages"))
+
+
 def questions(table: DataFrame, qid: str, text: str) -> DataFrame:
     """qid, question: the non-blank texts of a table."""
     return valid_questions(table.select(F.col(qid).alias("qid"), F.col(text).alias("question")))

@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from docquarry.config import Config
-from docquarry.operators.chunk import chunk_pages
+from docquarry.operators.chunk import chunk_documents
 from docquarry.operators.embed import Embedder
 from docquarry.plans.ingest import build_from_files
-from docquarry.sources.tables import single_pages
+from docquarry.sources.tables import with_pages
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
@@ -27,7 +27,7 @@ def _write(rows: DataFrame, path: str, batch: int) -> None:
 def ingest_tables(spark: SparkSession, folder: str, schema: T.StructType, to: str, checkpoint: str, glob: str = "*.parquet", size: int = Config.chunk_size, overlap: int = Config.chunk_overlap) -> StreamingQuery:
     """Chunk the rows (doc_id, text) of Parquet files as they arrive; ends when all there are have been read."""
     docs = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
-    return docs.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda rows, i: _write(chunk_pages(single_pages(rows), size, overlap), to, i)).start()
+    return docs.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda rows, i: _write(chunk_documents(with_pages(rows, single=True), size, overlap), to, i)).start()
 
 
 def ingest_files(spark: SparkSession, folder: str, embedder: Embedder, to: str, checkpoint: str, size: int = Config.chunk_size, overlap: int = Config.chunk_overlap) -> StreamingQuery:

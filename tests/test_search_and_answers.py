@@ -1,12 +1,14 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry.errors import GenerationError
 from docquarry.operators import index as indexes
 from docquarry.operators.answer import answer, retrieve
 from docquarry.operators.embed import HashedEmbedder, create_embedder
-from docquarry.operators.generate import Extractive, api_key, create_generator, error_class, explain
+from docquarry.operators.generate import Extractive, answered, api_key, create_generator, error_class, explain
 from docquarry.operators.prompt import NO_CONTEXT, NOTE, context, prompt, source_pages
 from docquarry.operators.search import best_similarity, search, valid_questions
 from docquarry.operators.views import answer_view, embedding_view, history_view, source_view
@@ -44,6 +46,24 @@ def test_search_limits_before_it_shuffles(spark):
     assert "WindowGroupLimit" in plan
 
 
+@pytest.mark.parametrize("how", ["arrow", "expression"])
+def test_vectors_of_other_widths_are_no_hits(spark, how):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [1.0]), (4, None), (5, []), (6, [1.0, None])], "vec_id long, embedding array<float>")
+    asked = rows.select(F.col("vec_id").alias("qid"), "embedding")
+    got = {(r.qid, r.vec_id) for r in search(rows, asked, 9, ["vec_id"], how).collect()}
+    assert got == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)}
+
+
+def test_failed_calls_cost_their_own_rows():
+    def generate(prompt):
+        if prompt == "bad":
+            raise GenerationError("no answer")
+        return prompt.upper()
+
+    got = list(answered(iter([pd.Series(["a", "bad"]), pd.Series([], dtype=object), pd.Series(["b"])]), generate))
+    assert [tuple(r) for batch in got for r in batch.itertuples(index=False)] == [("A", None), (None, "no answer"), ("B", None)]
+
+
 def test_top_k_is_checked(spark):
     vectors, _ = table(spark)
     with pytest.raises(ValueError, match="top_k"):
@@ -129,7 +149,7 @@ def test_embedders(spark):
 
 
 def test_error_classes(spark, monkeypatch):
-    cases = {"API KEY bad": "bad_key", "x 403": "bad_key", "429": "rate_limit", "quota": "rate_limit", "the rate": "rate_limit", "generate": "client"}
+    cases = {"API KEY bad": "bad_key", "x 403": "bad_key", "429": "rate_limit", "quota": "rate_limit", "the rate": "rate_limit", "RATE_LIMIT_EXCEEDED": "rate_limit", "generate": "client"}
     rows = spark.createDataFrame([(m,) for m in cases], "m string").select("m", error_class(F.col("m"))).collect()
     assert dict(map(tuple, rows)) == cases
     assert explain("generate") != explain("rate") and explain("x", "server") != explain("x", "other")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.text import blank, collapse, fingerprint, strip, suffix, three_places
 from docquarry.functions.vectors import dot, norm, normalised
-from docquarry.operators.chunk import chunk_pages, without_chunks
+from docquarry.operators.chunk import chunk_documents, chunk_pages, count_chunks, without_chunks
 from docquarry.operators.paginate import packed_pages, paragraphs, solid, table_row
 from docquarry.sources.tables import paged, single_pages
 
@@ -60,6 +60,12 @@ def test_chunks_equal_a_loop(spark, size, overlap):
     got = chunk_pages(rows, size, overlap).orderBy("doc_id", "chunk_id").collect()
     for d, pages in docs.items():
         assert [(r.chunk_id, r.page_number, r.text) for r in got if r.doc_id == d] == loop_chunks(pages, size, overlap)
+    whole = spark.createDataFrame([(d, [t for _, t in ps]) for d, ps in docs.items()], "doc_id long, pages array<string>")
+    by_document = chunk_documents(whole, size, overlap)
+    assert by_document.orderBy("doc_id", "chunk_id").collect() == got
+    assert "Exchange" not in by_document._jdf.queryExecution().executedPlan().toString()
+    counts = {r.doc_id: (r.page_count, r.chunk_count) for r in count_chunks(whole, size, overlap).collect()}
+    assert counts == {d: (3, len(loop_chunks(ps, size, overlap))) for d, ps in docs.items()}
 
 
 def test_chunk_counts_at_the_edges(spark):
