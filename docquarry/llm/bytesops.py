@@ -164,8 +164,10 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
 def packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
     """A binary column whose row i holds the bytes of values[first[i]:first[i+1]]."""
     values = np.ascontiguousarray(values)
-    at = (np.asarray(first, np.int64) * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(values.tobytes())])
+    at = np.asarray(first, np.int64) * values.itemsize
+    if at[-1] > np.iinfo(np.int32).max:
+        raise ValueError(f"a binary column of {at[-1]} bytes is too large for one batch")
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
 def regroup(values: np.ndarray, buckets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

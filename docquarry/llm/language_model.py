@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.bytesops import LOWER, U, blocks, lean, mix, packed, prefix_hash, regroup, span_hash, words
 from docquarry.llm.folds import held_out
-from docquarry.llm.store import keep, tasks
+from docquarry.llm.store import buckets, keep
 
 ORDER = 5
 #: Grams whose probabilities are sent out; the others are met by bucket, with the same result.
@@ -442,7 +442,7 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    n = tasks(spark)
+    n = buckets(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     train = docs.filter(~held_out("doc_id", folds, rest)).select("text")
     counted = train.mapInArrow(lean(_count(n)), "kind int, bucket int, keys binary, counts binary")

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of our own where it is unset (local tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="docquarry-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+from docquarry.sources.shared import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -38,6 +30,15 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def buckets(df: DataFrame, each: int = 256 << 20) -> int:
+    """Groups that rows made of df are dealt to: as many as shuffle partitions, more where they would be made of over `each` bytes.
+
+    By the plan's estimate of its size; results do not depend on it.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(tasks(df.sparkSession), min(size // each, 1 << 20))
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions for shuffles that carry packed rows, as the session sizes its own."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

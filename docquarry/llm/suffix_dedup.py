@@ -8,7 +8,8 @@ in reverse: its context holds every LENGTH-byte string around the anchor.
 1. Anchors go out by hash, packed many to a row; those met once vanish.
 2. Contexts of the others are sorted into runs where their texts are read.
    Runs leave front-coded: of each context only what it does not share with the
-   one before, and equal contexts of a run once, with all their places.
+   one before, and equal contexts of a run once, with their earliest place. The
+   other places repeat whole, which is settled there and then.
 3. Each task merges its runs with a loser tree that carries common prefixes, so
    known prefixes are never compared again. Runs are exchanged by the hash of
    the first GRAM bytes, since strings that share LENGTH bytes share those.
@@ -32,7 +33,8 @@ from pyspark.sql import types as T
 
 from docquarry.llm.bytesops import U, blocks, column, lean, mix, packed, prefix_hash, regroup, span_hash
 from docquarry.llm.loser_tree import front_decode, merge
-from docquarry.llm.store import keep, tasks
+from docquarry.llm.skew import join_groups
+from docquarry.llm.store import buckets, keep
 
 LENGTH = 100
 GRAM = 32
@@ -155,6 +157,8 @@ def _common(rows: np.ndarray) -> np.ndarray:
 def _runs(n_buckets: int):
     """(id, places, text) -> front-coded sorted runs, one row for each bucket of a run."""
 
+    names = ["bucket", "lcps", "tails", "ids", "pos"]
+
     def run(batches):
         held, size = [], 0
 
@@ -172,16 +176,25 @@ def _runs(n_buckets: int):
             common[edge] = 0
             fresh = common < width
             at = np.flatnonzero(fresh)
-            counts = np.diff(np.append(at, len(rows))).astype(np.uint32)
+            # of equal contexts the earliest place goes on
+            entry = np.cumsum(fresh) - 1
+            by_place = np.lexsort((pos, ids, entry))
+            lead = by_place[np.searchsorted(entry[by_place], np.arange(len(at)))]
+            later = (ids != ids[lead][entry]) | (pos != pos[lead][entry])
             common, kept = common[at], rows[at]
             tails = kept[np.arange(width) >= common[:, None]]
             tail_at = np.append(0, np.cumsum(width - common))
             key_at = np.append(np.flatnonzero(edge[at]), len(at))
-            row_at = np.append(at, len(rows))[key_at]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(bucket[at][key_at[:-1]].astype(np.int32)), packed(common.astype(np.uint8), key_at), packed(tails, tail_at[key_at]), packed(counts, key_at), packed(ids, row_at), packed(pos, row_at)],
-                ["bucket", "lcps", "tails", "counts", "ids", "pos"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at][key_at[:-1]].astype(np.int32)), packed(common.astype(np.uint8), key_at), packed(tails, tail_at[key_at]), packed(ids[lead], key_at), packed(pos[lead], key_at)], names)
+            if later.any():
+                # the others' spans: no context, and starts and ends for places
+                ids, pos, ends = ids[later], pos[later].astype(np.int64), rows[later][:, -2:].astype(np.int64)
+                spans = np.stack([pos - ends[:, 0], pos + ends[:, 1]], axis=1).astype(np.uint32)
+                order, first = regroup(np.arange(len(ids)), (mix(ids.view(np.uint64)) % U(n_buckets)).astype(np.int64), n_buckets)
+                some = np.flatnonzero(np.diff(first))
+                pick = lambda x, k: packed(x[order].reshape(-1), k * first).take(pa.array(some))
+                none = pa.array([b""] * len(some), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), none, none, pick(ids, 1), pick(spans, 2)], names)
 
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column(2)):
@@ -197,10 +210,10 @@ def _runs(n_buckets: int):
                     held.append((_contexts(data, offsets[t], offsets[t + 1], p), ids[t], (p - offsets[t]).astype(np.uint32)))
                     size += len(p)
                     if size >= HELD_CONTEXTS:
-                        yield flush()
+                        yield from flush()
                         held, size = [], 0
         if size:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -217,31 +230,30 @@ def _first_of(classes: np.ndarray, rank: np.ndarray) -> np.ndarray:
 def _settle(table: pa.Table) -> pa.Table:
     """Merge a bucket's runs; (id, spans) of bytes that repeat earlier ones, as pairs of 32-bit places."""
     left, width = LENGTH - GRAM, 2 * LENGTH - GRAM + 2
-    runs, counts, ids, pos = [], [], [], []
+    runs, ids, pos, out = [], [], [], []
     for row in table.to_pylist():
+        own, at = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["pos"], np.uint32).astype(np.int64)
+        if not row["lcps"]:  # spans that are settled
+            out.append((own, at[::2], at[1::2]))
+            continue
         lcps = list(row["lcps"])
         runs.append((front_decode(lcps, row["tails"], width), lcps))
-        counts.append(np.frombuffer(row["counts"], np.uint32).astype(np.int64))
-        ids.append(np.frombuffer(row["ids"], np.int64))
-        pos.append(np.frombuffer(row["pos"], np.uint32).astype(np.int64))
+        ids.append(own)
+        pos.append(at)
+    if not runs:
+        return _by_id(out)
     of, where, common = (np.array(x, np.int64) for x in merge(runs))
     fresh = common < width
-    cls = np.cumsum(fresh) - 1  # of each merged string
-    # the places of every string, in merged order
-    base = np.append(0, np.cumsum([len(c) for c in counts]))
-    place_at = np.append(0, np.cumsum(np.concatenate(counts)))
-    string = base[of] + where
-    n_of = place_at[string + 1] - place_at[string]
-    take = np.repeat(place_at[string] - np.append(0, np.cumsum(n_of))[:-1], n_of) + np.arange(int(n_of.sum()))
-    ids, pos = np.concatenate(ids)[take], np.concatenate(pos)[take]
-    entry = np.repeat(cls, n_of)
+    entry = np.cumsum(fresh) - 1  # of each merged string
+    string = np.append(0, np.cumsum([len(x) for x in ids]))[of] + where
+    ids, pos = np.concatenate(ids)[string], np.concatenate(pos)[string]
     order = np.lexsort((pos, ids))
     rank = np.empty(len(ids), np.int64)  # a place that was read twice has one rank
     rank[order] = np.cumsum(np.append(True, (ids[order][1:] != ids[order][:-1]) | (pos[order][1:] != pos[order][:-1])))
     first = _first_of(entry, rank)
     keys = np.frombuffer(b"".join(runs[r][0][i] for r, i in zip(of[fresh].tolist(), where[fresh].tolist(), strict=True)), np.uint8).reshape(-1, width)
     have_left, have_right = keys[:, -2].astype(np.int64), keys[:, -1].astype(np.int64)
-    out = [(ids[~first], pos[~first] - have_left[entry[~first]], pos[~first] + have_right[entry[~first]])]
+    out.append((ids[~first], pos[~first] - have_left[entry[~first]], pos[~first] + have_right[entry[~first]]))
 
     # contexts that differ but share an anchor
     lead = np.flatnonzero(first)
@@ -272,6 +284,11 @@ def _settle(table: pa.Table) -> pa.Table:
         _, j2 = np.nonzero(edges == -1)
         p = pos[lead[row]]
         out.append((ids[lead[row]], p - left + j1, p - left + j2 - 1 + LENGTH))
+    return _by_id(out)
+
+
+def _by_id(out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    """(id, spans) of ids with starts and ends."""
     ids, starts, ends = (np.concatenate(x) for x in zip(*out, strict=True))
     order = np.lexsort((starts, ids))
     ids = ids[order]
@@ -323,35 +340,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     earlier: in a text of smaller id, or earlier in the same text. Matches do
     not cross texts, and are judged on the input. Null counts as empty; texts
     of fewer bytes lose nothing. Rows that repeat an id and a text are one
-    text. If an id stands for different texts, each loses what any of them
-    repeats, within its length. A row whose id is null takes no part and loses
+    text. Rows that repeat an id with other texts are texts of their own, in the
+    order of a hash of both. A row whose id is null takes no part and loses
     nothing. Other columns of docs are ignored; an empty table gives an empty
     result.
     """
     spark = docs.sparkSession
-    n = tasks(spark)
+    n = buckets(docs)
     rest = [f"c{i}" for i in range(len(carry))]
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(a) for c, a in zip(carry, rest, strict=True)))
-    docs = docs.select("*", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"))
+    docs = docs.select("*", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"), F.col("id").alias("own_id"))
     ids = keep(docs.filter(f"id is not null and octet_length(text) >= {LENGTH}").select("id", "digest", F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("n")), "ids")
-    firsts = ids.groupBy("digest").agg(F.min("id").alias("first"), F.min("key").alias("key"))
+    several = keep(ids.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("id", F.lit(True).alias("several")), "several")
+    if not several.isEmpty():
+        told_apart = lambda d: d.join(several, "id", "left").withColumn("id", F.when(F.col("several"), F.xxhash64("id", "digest")).otherwise(F.col("id"))).drop("several")
+        docs, ids = told_apart(docs), told_apart(ids)
+    firsts = keep(ids.groupBy("digest").agg(F.min("id").alias("first"), F.min("key").alias("key"), F.count("*").alias("c")), "firsts")
 
     found = docs.filter(f"id is not null and octet_length(text) >= {LENGTH}").select(F.xxhash64("text").alias("key"), "text")
     found = found.mapInArrow(lean(_anchor_rows(n)), "bucket int, h binary, key binary, pos binary")
     twice = found.groupBy("bucket").applyInArrow(_repeated, "key long, places binary")
     twice = twice.groupBy("key").agg(F.collect_list("places").alias("places"))
-    sought = twice.join(firsts, "key").select(F.col("first").alias("id"), "digest", "places")
+    sought = twice.join(firsts.select("key", "first", "digest"), "key").select(F.col("first").alias("id"), "digest", "places")
     texts = docs.join(sought, ["id", "digest"]).select("id", "places", "text")
-    runs = texts.mapInArrow(lean(_runs(n)), "bucket int, lcps binary, tails binary, counts binary, ids binary, pos binary")
+    runs = texts.mapInArrow(lean(_runs(n)), "bucket int, lcps binary, tails binary, ids binary, pos binary")
     spans = runs.groupBy("bucket").applyInArrow(_settle, "id long, spans binary")
 
-    copies = ids.join(firsts.select("digest", "first"), "digest").filter("id <> first")
+    copies = join_groups(ids.select("id", "n", "digest"), firsts.filter("c > 1").select("digest", "first", "c"), ["digest"]).filter("id <> first")
     little = F.expr("transform(array(7, 5, 3, 1), i -> substring(lpad(hex(n), 8, '0'), i, 2))")
     whole = copies.groupBy("id").agg(F.max("n").alias("n")).select("id", F.unhex(F.concat(F.lit("00000000"), F.array_join(little, ""))).alias("spans"))
     spans = keep(spans.union(whole).groupBy("id").agg(F.collect_list("spans").alias("spans")), "spans")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     made = [T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(span)), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
-    return docs.join(spans, "id", "left").select("id", "text", "spans", *rest).mapInArrow(lean(_cut(as_text)), T.StructType([*made, *docs.select(*rest).schema.fields]))
+    return docs.join(spans, "id", "left").select("own_id", "text", "spans", *rest).mapInArrow(lean(_cut(as_text)), T.StructType([*made, *docs.select(*rest).schema.fields]))
 
 
 def with_repeats_cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
