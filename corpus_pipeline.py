@@ -42,7 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row's columns are those of documents, with text and n_chars of what is taken, then size, source_size, target and taken.
     """
-    return mixed_texts(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return mixed_texts(docs)
 
 
 STAGES = [
