@@ -133,12 +133,21 @@ def _equations(kernel: Kernel):
 
 
 def _added(table: pa.Table) -> pa.Table:
-    return pa.table({"part": pa.array([sum(np.frombuffer(x.as_buffer(), np.float64) for x in table["part"]).tobytes()], pa.binary())})
+    return pa.table({"g": table["g"][:1], "part": pa.array([sum(np.frombuffer(x.as_buffer(), np.float64) for x in table["part"]).tobytes()], pa.binary())})
+
+
+#: Arrays that one task adds up.
+FAN = 32
 
 
 def _total(parts: DataFrame) -> np.ndarray | None:
-    """The sum of arrays, one from each partition, by way of at most 16 groups."""
-    rows = parts.withColumn("g", F.spark_partition_id() % 16).groupBy("g").applyInArrow(_added, "part binary").collect()
+    """The sum of arrays, one from each partition, as a tree of which each task adds up FAN."""
+    left = parts.rdd.getNumPartitions()
+    rows = parts.withColumn("g", F.spark_partition_id().cast("long"))
+    while left > FAN:
+        left = -(-left // FAN)
+        rows = rows.withColumn("g", F.expr(f"g div {FAN}")).groupBy("g").applyInArrow(_added, "g long, part binary")
+    rows = rows.select("part").collect()
     return sum(np.frombuffer(r.part, np.float64) for r in rows) if rows else None
 
 

@@ -37,8 +37,17 @@ def near_duplicates(docs):
     return {d: (len(sets[d]), root(d)) for d in ids}
 
 
+def without_repeats(docs, length=100):
+    """{doc_id: the bytes that stay} of (doc_id, text)."""
+    return {d: kept for d, (*_, kept) in _repeats(docs, length).items()}
+
+
 def remove_repeats(docs, length=100):
     """{doc_id: (n_bytes, n_removed, n_spans, sha256 of what stays)} of (doc_id, text)."""
+    return {d: (*counts, hashlib.sha256(kept).hexdigest()) for d, (*counts, kept) in _repeats(docs, length).items()}
+
+
+def _repeats(docs, length):
     seen, out = set(), {}
     for d, t in sorted(docs):
         b = (t or "").encode()
@@ -50,7 +59,7 @@ def remove_repeats(docs, length=100):
             seen.add(s)
         runs = sum(gone[i] and not gone[i - 1] for i in range(1, len(b))) + (bool(b) and gone[0])
         kept = bytes(c for c, g in zip(b, gone, strict=False) if not g)
-        out[d] = (len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest())
+        out[d] = (len(b), sum(gone), runs, kept)
     return out
 
 
@@ -230,3 +239,43 @@ def leaks(docs, items):
             if min(row) <= (n // 5 if n >= 7 else 0):
                 out[d, i] = min(row)
     return out
+
+
+def statistics(text):
+    """What the quality classifier knows of a text, counted one by one."""
+    b = (text or "").encode()
+    n = max(len(b), 1)
+    letter = lambda c: chr(c).isalpha() if c < 128 else True
+    upper, lower_space = lambda c: 65 <= c <= 90, b" \t\n\x0b\x0c\r"
+    symbol, bang, stop = b"#$%&*+/<=>@[\\]^_`{|}~", b"!?", b".,;:"
+    kinds = (upper, letter, lambda c: 48 <= c <= 57, lambda c: c in lower_space, lambda c: c >= 128, lambda c: c in symbol, lambda c: c in bang, lambda c: c in stop, lambda c: c == 124)
+    shares = [sum(map(k, b)) / n for k in kinds]
+    w = re.findall(rb"[^\x20\x09-\x0d]+", b)
+    low = [x.lower() for x in w]
+    m = max(len(w), 1)
+    lengths = [len(x) for x in w]
+    mean = sum(lengths) / m
+    spread = math.sqrt(max(sum(x * x for x in lengths) / m - mean * mean, 0))
+    plain = sum(sum(map(letter, x)) >= len(x) - 1 for x in w) / m
+    symbols = sum(any(c in symbol or c in bang for c in x) for x in w) / m
+    top = max((low.count(x) for x in set(low)), default=0) / m
+    again = sum(x == y for x, y in zip(low, low[1:], strict=False)) / m
+    lines = b.count(b"\n") + 1
+    of_letters = shares[0] / shares[1] if shares[1] else 0
+    return [math.log1p(len(b)), math.log1p(len(w)), *shares, of_letters, mean, spread, plain, symbols, len(set(low)) / m, math.log1p(len(set(low))), top, again, math.log(lines), math.log1p(len(w) / lines)]
+
+
+def ridge(rows, y, penalty):
+    """Weights that minimise squared errors plus penalty times squared weights, by stacking the penalty below the rows."""
+    import numpy as np
+
+    stacked = np.concatenate([rows, np.diag(np.sqrt(penalty))])
+    return np.linalg.lstsq(stacked, np.concatenate([y, np.zeros(len(penalty))]), rcond=None)[0]
+
+
+def bins(hashes, n):
+    """{bin: least hash} of phrase hashes."""
+    out = {}
+    for h in hashes:
+        out[h % n] = min(out.get(h % n, 1 << 64), h >> 8)
+    return out

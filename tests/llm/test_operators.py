@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docquarry.llm import decontaminate, fingerprints, language_model, licenses, loser_tree, mixing, near_dedup, quality, skew, suffix_dedup, toxicity, warc
+from docquarry.llm import bytesops, decontaminate, fingerprints, language_model, licenses, loser_tree, mixing, near_dedup, quality, skew, suffix_dedup, toxicity, warc
 from docquarry.llm.graph import components
 from tests.llm import brute
 
@@ -427,6 +427,35 @@ def test_fingerprints(spark):
     assert len(single) == 1 and single[0].near_next == 1
 
 
+def plain_signature(text):
+    """From the phrases of a text that is parsed a step at a time: the least hash of each bin, full ones lent round to empty ones."""
+    cuts = [0, *brute.lz_phrases(text)]
+    parts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    hashes = [int(bytesops.span_hash(bytesops.prefix_hash(d := np.frombuffer(p.encode(), np.uint8)), np.array([0]), np.array([len(d)]))[0]) for p in parts]
+    least = brute.bins(hashes, fingerprints.BINS)
+    out = []
+    for i in range(fingerprints.BINS):
+        if not least:
+            return fingerprints.NOTHING
+        lent = next(k for k in range(fingerprints.BINS) if (i + k) % fingerprints.BINS in least)
+        value = (least[(i + lent) % fingerprints.BINS] + lent * 0x9E3779B97F4A7C15) % (1 << 64)
+        out.append((int(bytesops.mix(np.array([value], np.uint64))[0]) >> 48) % 0xFFFF)
+    return np.array(out, np.uint16)
+
+
+def test_edited_texts_have_fingerprints_of_their_own(spark):
+    docs = [(d, t) for d, t in dict(corpus(10, 25)).items()] + [(700, None), (701, "é漢" * 50), (702, "x")]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(table(spark, docs)).collect()}
+    ordered = sorted((d, t or "") for d, t in docs)
+    for i, (d, t) in enumerate(ordered):
+        after = ordered[(i + 1) % len(ordered)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, new, nxt = plain_signature(t), plain_signature(edited), plain_signature(after)
+        assert (got[d].fingerprint, got[d].edited_fingerprint) == (own.tobytes().hex(), new.tobytes().hex())
+        same = lambda a, b: sum(x == y for x, y in zip(a.tolist(), b.tolist(), strict=True)) / fingerprints.BINS
+        assert (got[d].near_edited, got[d].near_next) == pytest.approx((same(own, new), same(own, nxt)))
+
+
 def test_phrases():
     rng = random.Random(6)
     for _ in range(500):
@@ -641,6 +670,46 @@ def test_quality(spark):
     assert {r.score for r in none} == {0.5}
 
 
+def test_quality_of_whole_texts(spark):
+    """Statistics counted one by one; ridge weights by least squares over all rows; probabilities that follow the labels."""
+    texts = [t for _, t in corpus(21, 25)] + ["", None, "UPPER lower 123 !? | #x", "a a a b\nb\n\nc", "é漢 é漢\tz", " ", "word. " * 3000]
+    block = quality.statistics(*quality_block(texts))
+    for row, text in zip(block, texts, strict=True):
+        assert row.tolist() == pytest.approx(brute.statistics(text)), text
+    rng = np.random.default_rng(5)
+    z, y = rng.standard_normal((200, 9)), rng.integers(0, 2, 200).astype(float)
+    penalty = np.array([quality.RIDGE] * 8 + [1e-6])
+    assert quality.solve(z.T @ np.concatenate([z, y[:, None]], axis=1)) == pytest.approx(brute.ridge(z, y, penalty))
+    cells = [(100, 10.0, 0.0), (300, 10.0, 4.0), (500, 10.0, 2.0), (900, 10.0, 10.0)]
+    table_ = quality.calibration(cells)
+    assert all(a <= b for a, b in zip(table_, table_[1:], strict=False)) and 0 <= table_[0] and table_[-1] <= 1
+    assert table_[100] < 0.02 and table_[300] == pytest.approx(0.3, abs=0.02) == pytest.approx(table_[500], abs=0.02) and table_[900] > 0.98
+
+
+def quality_block(texts):
+    data = [(t or "").encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(d) for d in data]))
+
+
+def test_normal_equations_are_those_of_all_partitions(spark, monkeypatch):
+    """Partition sums, added up in a tree, against one matrix of all training rows."""
+    monkeypatch.setattr(quality, "FAN", 2)
+    docs = corpus(22, 40)
+    block = quality.statistics(*quality_block([t for _, t in docs]))
+    rows = [(bytes(f.astype(np.float32).tobytes()), float(i % 2), i % 3 % 2) for i, f in enumerate(block)]
+    train = spark.createDataFrame([(bytearray(f), y, h) for f, y, h in rows], "f binary, y double, half int").repartition(7)
+    d = len(quality.STATISTICS)
+    n, s, q = quality._total(train.select("f").mapInArrow(quality._moments, "part binary")).reshape(3, d)
+    f32 = block.astype(np.float32).astype(float)
+    assert n[0] == 40 and s == pytest.approx(f32.sum(axis=0)) and q == pytest.approx((f32**2).sum(axis=0))
+    kernel = quality.Kernel(s / n, np.sqrt(np.maximum(q / n - (s / n) ** 2, 0)))
+    z, y, half = kernel(f32), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    got = quality._total(train.mapInArrow(quality._equations(kernel), "part binary")).reshape(2, z.shape[1], z.shape[1] + 1)
+    for h in (0, 1):
+        own = z[half == h]
+        assert got[h] == pytest.approx(own.T @ np.column_stack([own, y[half == h]]))
+
+
 def test_isotonic():
     assert quality.isotonic(np.ones(5), np.array([1, 3, 2, 2, 5.0])).tolist() == pytest.approx([1, 7 / 3, 7 / 3, 7 / 3, 5])
 
