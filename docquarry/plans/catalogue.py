@@ -9,21 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.config import Config
+from docquarry.config import SUPPORTED, Config
 from docquarry.functions.text import collapse, fingerprint, suffix
 from docquarry.functions.vectors import norm, normalised
-from docquarry.operators.answer import answer
+from docquarry.operators.answer import answer, retrieve
 from docquarry.operators.chunk import chunk_documents, count_chunks
-from docquarry.operators.embed import HashedEmbedder
+from docquarry.operators.embed import HashedEmbedder, create_embedder
 from docquarry.operators.generate import Extractive, error_class
-from docquarry.operators.index import counted, embed_chunks, new_files, replaced
+from docquarry.operators.index import add, counted, embed_chunks, new_files, replaced, save
 from docquarry.operators.paginate import paragraphs, table_row
 from docquarry.operators.prompt import context, gathered, prompt, source_pages
 from docquarry.operators.search import best_similarity, search
 from docquarry.operators.views import answer_view, chunk_view, embedding_view, history_view, source_view
 from docquarry.plans.oracles import ORACLES
 from docquarry.sources.docx import make_docx
-from docquarry.sources.files import load_docx, load_pdfs, route
+from docquarry.sources.files import load_documents, load_docx, load_pdfs, route
 from docquarry.sources.pdf import make_pdf
 from docquarry.sources.tables import paged, questions, with_pages
 from docquarry.sources.shared import shared_dir
@@ -135,6 +135,34 @@ def _best(spark, sf_dir):
     return best_similarity(asking, near, 0.5).withColumn("best_similarity", F.round("best_similarity", 6))
 
 
+def index_add(spark, sf_dir):
+    """The search over vectors of odd ids that were added to those of even ones."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = add(vectors.filter("vec_id % 2 = 0"), vectors.filter("vec_id % 2 = 1"), 64)
+    asking = vectors.filter(F.col("vec_id") % QUERY_EVERY == 0).select(F.col("vec_id").alias("qid"), "embedding")
+    return _long(search(index, asking, 3, ["vec_id"]).select("qid", "vec_id", "rank", F.round("similarity", 6).alias("similarity")), "rank")
+
+
+def index_saved(spark, sf_dir):
+    """An index, written and read again: the width of each vector and the words that it counts."""
+    index = embed_chunks(chunk_documents(with_pages(_docs(spark, sf_dir))), HashedEmbedder(unit=False))
+    to = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    save(index, to)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")).cast("long")
+    return _long(spark.read.parquet(to).select("doc_id", "chunk_id", F.size("embedding").alias("width"), total.alias("n_words")), "chunk_id", "width")
+
+
+def embedder_width(spark, sf_dir):
+    """Unit vectors of an embedder that is chosen by name."""
+    e = create_embedder("hashed-64")
+    vectors = _docs(spark, sf_dir).select("doc_id", e.column(F.col("text")).alias("v"))
+    return vectors.select("doc_id", F.size("v").cast("long").alias("width"), F.lit(e.dimension).cast("long").alias("dimension"), F.round(norm(F.col("v")), 5).alias("norm"))
+
+
+def supported_formats(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(sorted(SUPPORTED))), "i long, extension string")
+
+
 def hashed_embedding(spark, sf_dir):
     e = HashedEmbedder()
     own = _docs(spark, sf_dir).select("doc_id", F.explode(e.buckets(F.col("text"))).alias("bucket"))
@@ -147,11 +175,9 @@ def _asked(spark, sf_dir):
 
 def _hits(spark, sf_dir, k: int = Config.top_k):
     """Benchmark passages as questions over all chunks; counts are whole numbers, so that scores are exact."""
-    e = HashedEmbedder()
-    chunked = chunk_documents(with_pages(_docs(spark, sf_dir)))
-    index = chunked.select("doc_id", "chunk_id", "page_number", "text", e.counts(F.col("text")).alias("embedding"))
-    asked = _asked(spark, sf_dir).select("qid", e.counts(F.col("question")).alias("embedding"))
-    return search(index, asked, k, ["doc_id", "chunk_id"], "arrow", scale=True)
+    e = HashedEmbedder(unit=False)
+    index = embed_chunks(chunk_documents(with_pages(_docs(spark, sf_dir))), e)
+    return retrieve(index, _asked(spark, sf_dir), e, k, scale=True)
 
 
 def retrieve_benchmark(spark, sf_dir):
@@ -254,6 +280,25 @@ def docx_pages(spark, sf_dir):
     return _long(pages, "doc_id", "page_number")
 
 
+#: By doc_id modulo 6: a good Word file, and files that cannot be read.
+_NAMES = (".docx", ".pdf", ".pdf", ".pdf", ".txt", ".docx")
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = []
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            made.append((lambda: make_docx((t or "").split("\n")), lambda: b"", lambda: b"junk", lambda: make_pdf([[], []]), lambda: b"text", lambda: b"junk")[i % 6]())  # noqa: B023
+        names = [f"d{i}{_NAMES[i % 6]}" for i in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(made, pa.binary())], ["doc_id", "filename", "content"])
+
+
+def load_errors(spark, sf_dir):
+    """Files that have no page with text, with what is said of them."""
+    _, errors = load_documents(_docs(spark, sf_dir).mapInArrow(_files, "doc_id long, filename string, content binary"))
+    return _long(errors, "doc_id")
+
+
 def pdf_pages(spark, sf_dir):
     """Documents written as PDF files, a page for each line, and read again."""
     files = _docs(spark, sf_dir).mapInArrow(_made(lambda t: make_pdf([[x] for x in t.split("\n")])), "doc_id long, content binary")
@@ -291,6 +336,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_k5": _knn(5),
     "knn_k10": _knn(10),
     "best_similarity": _best,
+    "index_add": index_add,
+    "index_saved": index_saved,
+    "embedder_width": embedder_width,
+    "supported_formats": supported_formats,
     "hashed_embedding": hashed_embedding,
     "retrieve_benchmark": retrieve_benchmark,
     "source_pages": source_page_lists,
@@ -305,6 +354,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "questions_valid": questions_valid,
     "history_view": history,
     "llm_error_class": llm_error_class,
+    "load_errors": load_errors,
     "docx_pages": docx_pages,
     "pdf_pages": pdf_pages,
     "stream_ingest": stream_ingest,

