@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.bytesops import LOWER, U, blocks, lean, mix, packed, prefix_hash, regroup, span_hash, words
 from docquarry.llm.folds import held_out
 from docquarry.llm.store import buckets, keep
+from docquarry.llm.sums import total
 
 ORDER = 5
 #: Grams whose probabilities are sent out; the others are met by bucket, with the same result.
@@ -50,6 +51,8 @@ END, START, ALPHABET = 256, 257, 257
 GRAMS, WORDS, TEXTS = 0, 1, 2
 #: Classes that escapes are pooled by.
 CLASSES = 61 * 64
+#: What escapes are learned from: by order and whether an escape led there, the new and all, by class.
+EVIDENCE = (ORDER + 1, 2, 2, CLASSES)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +243,7 @@ class Trie:
             total = np.where(there, self.total[o][node] - took[open_], 0)
             new = np.where(there, self.kinds[o][node] - kinds[open_], 0)
             cls = self._class(total, new)
-            escape = np.where(fell[open_], self.escape.get((o, True), self.escape[o, False])[cls], self.escape[o, False][cls])
+            escape = np.where(fell[open_], self.escape[o, True][cls], self.escape[o, False][cls])
             hit = there & seen
             out[open_[hit]] += np.log10((1 - escape[hit]) * self.count[o][at[hit]] / total[hit])
             miss = there & ~seen & (new > 0)
@@ -329,8 +332,10 @@ def _part(low, table: pa.Table, escape: dict | None = None) -> Trie:
 
 def _evidence(low):
     def run(table: pa.Table) -> pa.Table:
-        got = list(_part(low, table).evidence(LOW, ORDER + 1))
-        return pa.table({"order": pa.array([x[0] for x in got], pa.int32()), "fell": pa.array([x[1] for x in got], pa.bool_()), "new": pa.array([x[2].tobytes() for x in got], pa.binary()), "every": pa.array([x[3].tobytes() for x in got], pa.binary())})
+        out = np.zeros(EVIDENCE)
+        for o, fell, new, every in _part(low, table).evidence(LOW, ORDER + 1):
+            out[o, int(fell)] += np.stack([new, every])
+        return pa.table({"part": pa.array([out.tobytes()], pa.binary())})
 
     return run
 
@@ -453,13 +458,14 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     low = numbers(entries.filter(F.col("order") < LOW).select("order", "gram", "count").toArrow())
     parts = entries.filter(F.col("order") >= LOW).select("order", "gram", "count")
     parts = keep(parts.mapInArrow(lean(_placed(n)), "bucket int, orders binary, grams binary, counts binary"), "parts")
-    evidence = {(o, False): np.zeros((2, CLASSES)) for o in range(ORDER + 1)}
+    evidence = np.zeros(EVIDENCE)
     for o, fell, new, every in Trie(*low).evidence(0, LOW):
-        evidence[o, fell] = np.stack([new, every])
+        evidence[o, int(fell)] += np.stack([new, every])
     low = spark.sparkContext.broadcast(low)
-    for r in parts.groupBy("bucket").applyInArrow(_evidence(low), "order int, fell boolean, new binary, every binary").toLocalIterator():
-        evidence[r.order, r.fell] = evidence.get((r.order, r.fell), 0) + np.stack([np.frombuffer(r.new), np.frombuffer(r.every)])
-    escape = spark.sparkContext.broadcast({k: (new + 0.15) / (every + 0.3) for k, (new, every) in evidence.items()})
+    more = total(parts.groupBy("bucket").applyInArrow(_evidence(low), "part binary"))
+    if more is not None:
+        evidence += more.reshape(EVIDENCE)
+    escape = spark.sparkContext.broadcast({(o, fell): (evidence[o, int(fell), 0] + 0.15) / (evidence[o, int(fell), 1] + 0.3) for o in range(ORDER + 1) for fell in (False, True)})
     least = _threshold(entries.filter(F.col("order") == ORDER), MAX_NODES)
     frequent = parts.groupBy("bucket").applyInArrow(_frequent(low, escape, least), "gram long, value float").toArrow()
     vocabulary = counted.filter(f"kind = {WORDS}")

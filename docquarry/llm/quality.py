@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.bytesops import LOWER, SPACE, blocks, lean, packed, prefix_hash, shingles, span_hash, words
 from docquarry.llm.folds import held_out
 from docquarry.llm.store import keep
+from docquarry.llm.sums import total
 
 FEATURES = 128
 RIDGE = 3.0
@@ -43,8 +44,8 @@ STATISTICS = ("log_bytes", "log_words", *(f"{k}_share" for k in _KINDS), "upper_
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.append(0, np.cumsum(values, dtype=np.float64))
-    return total[first[1:]] - total[first[:-1]]
+    so_far = np.append(0, np.cumsum(values, dtype=np.float64))
+    return so_far[first[1:]] - so_far[first[:-1]]
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -109,11 +110,11 @@ class Kernel:
 
 def _moments(batches):
     d = len(STATISTICS)
-    total = np.zeros((3, d))
+    sums = np.zeros((3, d))
     for batch in batches:
         f = _matrix(batch.column(0), d)
-        total += np.stack([np.full(d, float(len(f))), f.sum(axis=0), (f**2).sum(axis=0)])
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+        sums += np.stack([np.full(d, float(len(f))), f.sum(axis=0), (f**2).sum(axis=0)])
+    yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["part"])
 
 
 def _equations(kernel: Kernel):
@@ -121,36 +122,17 @@ def _equations(kernel: Kernel):
 
     def run(batches):
         width = FEATURES + len(STATISTICS) + 1
-        total = np.zeros((2, width, width + 1))
+        sums = np.zeros((2, width, width + 1))
         for batch in batches:
             z, y, half = kernel(_matrix(batch.column(0), len(STATISTICS))), np.asarray(batch.column(1), np.float64), np.asarray(batch.column(2))
             for h in (0, 1):
                 own = half == h
-                total[h] += z[own].T @ np.concatenate([z[own], y[own, None]], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+                sums[h] += z[own].T @ np.concatenate([z[own], y[own, None]], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["part"])
 
     return run
 
 
-def _added(table: pa.Table) -> pa.Table:
-    return pa.table({"g": table["g"][:1], "part": pa.array([sum(np.frombuffer(x.as_buffer(), np.float64) for x in table["part"]).tobytes()], pa.binary())})
-
-
-#: Arrays that one task adds up.
-FAN = 32
-
-
-def _total(parts: DataFrame) -> np.ndarray | None:
-    """The sum of arrays, one from each partition, as a tree of which each task adds up FAN."""
-    left = parts.rdd.getNumPartitions()
-    rows = parts.withColumn("g", F.spark_partition_id().cast("long"))
-    while left > FAN:
-        left = -(-left // FAN)
-        rows = rows.withColumn("g", F.expr(f"g div {FAN}")).groupBy("g").applyInArrow(_added, "g long, part binary")
-    rows = rows.select("part").collect()
-    return sum(np.frombuffer(r.part, np.float64) for r in rows) if rows else None
-
-
 def solve(equations: np.ndarray) -> np.ndarray:
     width = len(equations)
     ridge = np.full(width, RIDGE)
@@ -213,12 +195,12 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     half = (F.xxhash64("doc_id").bitwiseAND(1)).cast("int").alias("half")
     train = keep(described.join(known.filter(~held_out("doc_id", 5, 0)), "doc_id").select("f", "y", half), "training")
     d, width = len(STATISTICS), FEATURES + len(STATISTICS) + 1
-    moments = _total(train.select("f").mapInArrow(_moments, "part binary"))
+    moments = total(train.select("f").mapInArrow(_moments, "part binary"))
     kernel, weights, table = Kernel(np.zeros(d), np.ones(d)), np.zeros((1, width)), [0.5] * STEPS
     if moments is not None and moments[0] > 0:
         n, s, q = moments.reshape(3, d)
         kernel = Kernel(s / n, np.sqrt(np.maximum(q / n - (s / n) ** 2, 0)))
-        parts = _total(train.mapInArrow(_equations(kernel), "part binary")).reshape(2, width, width + 1)
+        parts = total(train.mapInArrow(_equations(kernel), "part binary")).reshape(2, width, width + 1)
         crossed = np.stack([solve(parts[1]), solve(parts[0])])
         raw = train.select("f", F.col("half").alias("which"), "y").mapInArrow(_raw(kernel, crossed), "raw double, y double")
         cells = raw.groupBy(_step(F.col("raw")).alias("step")).agg(F.count("*").alias("n"), F.sum("y").alias("ones")).collect()

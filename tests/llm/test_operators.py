@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docquarry.llm import bytesops, decontaminate, fingerprints, language_model, licenses, loser_tree, mixing, near_dedup, quality, skew, suffix_dedup, toxicity, warc
+from docquarry.llm import bytesops, decontaminate, fingerprints, language_model, licenses, loser_tree, mixing, near_dedup, quality, skew, suffix_dedup, sums, toxicity, warc
 from docquarry.llm.graph import components
 from tests.llm import brute
 
@@ -693,18 +693,18 @@ def quality_block(texts):
 
 def test_normal_equations_are_those_of_all_partitions(spark, monkeypatch):
     """Partition sums, added up in a tree, against one matrix of all training rows."""
-    monkeypatch.setattr(quality, "FAN", 2)
+    monkeypatch.setattr(sums, "FAN", 2)
     docs = corpus(22, 40)
     block = quality.statistics(*quality_block([t for _, t in docs]))
     rows = [(bytes(f.astype(np.float32).tobytes()), float(i % 2), i % 3 % 2) for i, f in enumerate(block)]
     train = spark.createDataFrame([(bytearray(f), y, h) for f, y, h in rows], "f binary, y double, half int").repartition(7)
     d = len(quality.STATISTICS)
-    n, s, q = quality._total(train.select("f").mapInArrow(quality._moments, "part binary")).reshape(3, d)
+    n, s, q = sums.total(train.select("f").mapInArrow(quality._moments, "part binary")).reshape(3, d)
     f32 = block.astype(np.float32).astype(float)
     assert n[0] == 40 and s == pytest.approx(f32.sum(axis=0)) and q == pytest.approx((f32**2).sum(axis=0))
     kernel = quality.Kernel(s / n, np.sqrt(np.maximum(q / n - (s / n) ** 2, 0)))
     z, y, half = kernel(f32), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    got = quality._total(train.mapInArrow(quality._equations(kernel), "part binary")).reshape(2, z.shape[1], z.shape[1] + 1)
+    got = sums.total(train.mapInArrow(quality._equations(kernel), "part binary")).reshape(2, z.shape[1], z.shape[1] + 1)
     for h in (0, 1):
         own = z[half == h]
         assert got[h] == pytest.approx(own.T @ np.column_stack([own, y[half == h]]))
