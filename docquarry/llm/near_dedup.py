@@ -402,16 +402,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), least.alias("component_id"), F.coalesce(F.col("id") == least, F.lit(True)).alias("kept"))
 
 
-def _set_keys(id_at: int, text_at: int, width: int):
-    """Appends the row's set keys and number of shingles."""
-
-    def run(batches):
-        for batch in batches:
-            keys = [(*set_keys(x, first), np.diff(first)) for _, _, x, first in shingle_sets(batch.column(text_at), width)]
-            a, b, n = (np.concatenate([np.zeros(0, np.int64), *(k[i] for k in keys)]) for i in range(3))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a), pa.array(b), pa.array(n)], [*batch.schema.names, "near_set_a", "near_set_b", "near_n"])
-
-    return run
+def _set_keys(batches):
+    """(id, text, ...) -> the same, with the text's set keys."""
+    for batch in batches:
+        keys = [set_keys(x, first) for _, _, x, first in shingle_sets(batch.column(1))]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(k[i] for k in keys)]) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a), pa.array(b)], [*batch.schema.names, "set_a", "set_b"])
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -421,29 +417,28 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hash of its shingles, then of all its columns, so the order of rows does not
     matter. Rows that repeat an id with unlike texts are documents of their
     own. Rows without words stay, one for each id, and so do rows whose id is
-    null, all of them. Columns may have any names but near_set_a, near_set_b
-    and near_n.
+    null, all of them. Columns may have any names.
     """
-    found, _ = _classes(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), WIDTH, PERCENT)
+    # columns pass under names of our own
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`").alias(a) for c, a in own.items()))
+    found, _ = _classes(rows.select("id", "text"), WIDTH, PERCENT)
     found = keep(found.filter("id is not null"), "found")
     group = found.groupBy("component").agg(F.min(F.struct("id", "set_a", "set_b")).alias("first"))
     stay = group.filter("component is not null").select("first.*").union(found.filter("component is null").select("id", "set_a", "set_b"))
     stay = keep(stay.distinct(), "stay")
     # ids of one row need no more than the id; those of several are told apart by their sets, and then by all columns
     often = keep(found.groupBy("id").count().filter("count > 1").select("id"), "often")
-    own, key = docs.filter(F.col(id_col).isNotNull()), F.col(id_col).cast("long")
+    kept = rows.filter("id is not null")
     if often.isEmpty():
-        kept = own.join(stay, key == stay["id"], "left_semi")
+        kept = kept.join(stay, "id", "left_semi").select(*own.values())
     else:
-        once = stay.join(often, "id", "left_anti")
-        kept = own.join(once, key == once["id"], "left_semi")
-        several = own.join(often, key == often["id"], "left_semi")
-        at = [docs.columns.index(c) for c in (id_col, text_col)]
-        schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("near_set_a", "near_set_b", "near_n"))])
-        several = several.mapInArrow(lean(_set_keys(*at, WIDTH)), schema)
-        several = several.join(stay, (key == stay["id"]) & (several["near_set_a"] == stay["set_a"]) & (several["near_set_b"] == stay["set_b"]), "left_semi")
-        all_ = F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))
-        rank = F.row_number().over(Window.partitionBy(id_col, "near_set_a", "near_set_b").orderBy(all_))
-        several = several.withColumn("near_n", rank).filter("near_n = 1").drop("near_set_a", "near_set_b", "near_n")
-        kept = kept.union(several)
-    return kept.union(docs.filter(F.col(id_col).isNull())).select(*(F.col(f"`{c}`") for c in docs.columns))
+        several = kept.join(often, "id", "left_semi")
+        kept = kept.join(stay.join(often, "id", "left_anti"), "id", "left_semi").select(*own.values())
+        schema = T.StructType([*several.schema.fields, T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType())])
+        several = several.mapInArrow(lean(_set_keys), schema).join(stay, ["id", "set_a", "set_b"], "left_semi")
+        order = F.xxhash64(*(F.col(a).cast("string") for a in own.values()))
+        several = several.withColumn("rank", F.row_number().over(Window.partitionBy("id", "set_a", "set_b").orderBy(order)))
+        kept = kept.union(several.filter("rank = 1").select(*own.values()))
+    kept = kept.union(rows.filter("id is null").select(*own.values()))
+    return kept.select(*(F.col(a).alias(c) for c, a in own.items()))

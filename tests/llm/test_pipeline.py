@@ -58,7 +58,7 @@ def test_odd_tables(spark, tmp_path):
     """Nulls, repeated ids, clashing columns: each stage keeps the columns, whatever the order of rows."""
     long_ = " ".join(f"word{i}" for i in range(60))
     rows = [(None, long_, "s"), (None, None, None), (1, long_, "s"), (1, long_, "s"), (1, "quite another text", "t"), (2, long_ + " more", "t"), (3, "", "t"), (3, " ", "t"), (4, None, "t"), (5, "a b c", None)]
-    clash = ("id", "n", "f", "score", "size", "target", "taken", "source_size", "row", "pass", "c0", "c1", "digest", "spans", "kept", "component", "half", "y", "lo", "hi", "first")
+    clash = ("id", "n", "f", "score", "size", "target", "taken", "source_size", "row", "pass", "c0", "c1", "digest", "spans", "kept", "component", "half", "y", "lo", "hi", "first", "set_a", "set_b", "rank")
     folder = str(tmp_path)
     spark.createDataFrame([(1, 1, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(0, None), (1, "quite another text"), (None, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
