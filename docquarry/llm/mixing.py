@@ -227,6 +227,14 @@ class Mix:
         rows = begin.union(texts).repartition(tasks(self.spark), "source_no", "stream").sortWithinPartitions("source_no", "stream", F.col("base").isNull(), F.asc_nulls_first("doc_id"), "tie")
         return rows.select("source_no", "stream", "base", "doc_id", "text").mapInArrow(lean(_pack), "source_no long, block long, tokens string, parts array<struct<row: long, n: long>>, row long, doc_id long, size long")
 
+    def drawn(self, made: DataFrame, *columns: str) -> DataFrame:
+        """made (source_no, block, ...) with the slots that take its blocks, and `columns` of these.
+
+        By sorting: a plan's row stands for up to PLAN_ROW slots and a row of `rows` for all its
+        blocks, so that Spark takes either side for far smaller than it is, and would broadcast it.
+        """
+        return made.join(self.slots.select("source_no", "block", *columns).hint("merge"), ["source_no", "block"])
+
     @property
     def pieces(self) -> DataFrame:
         """Each row's words from lo to hi - 1 that lie in a block."""
@@ -276,7 +284,7 @@ def packed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     m = Mix(keep(sizes(docs, id_col, text_col, source_col), "sized"))
     made = m.packed(_with_tie(docs, id_col, text_col, source_col)).filter("block is not null")
-    met = m.slots.join(made, ["source_no", "block"]).join(m.listed, "source_no")
+    met = m.drawn(made, "shard", "slot").join(m.listed, "source_no")
     return met.select("shard", "slot", F.col("s").alias("source"), F.split("tokens", "[\\x20\\x09-\\x0D]+").alias("tokens"))
 
 
@@ -300,7 +308,7 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in own.items()), F.monotonically_increasing_id().alias("row"))
     rows = keep(rows, "numbered")  # numbers must stay the same
     m = Mix(keep(sizes(rows, own[id_col], own[text_col], own[source_col], "row"), "sized"))
-    drawn = m.pieces.select("source_no", "block", "size", "source_size", "target", "lo", "hi", "row").join(m.slots.select("source_no", "block", "pass"), ["source_no", "block"])
+    drawn = m.drawn(m.pieces.select("source_no", "block", "size", "source_size", "target", "lo", "hi", "row"), "pass")
     drawn = drawn.groupBy("row", "pass").agg(*(F.first(c).alias(c) for c in ("size", "source_size", "target")), F.sum(F.expr("hi - lo")).alias("taken"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     t = own[text_col]
     # the lambda has a text's words found once, not once for each span

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -330,6 +332,21 @@ def test_mix_has_the_words_that_it_takes(spark, monkeypatch, stream):
     assert any(0 < r.taken < r.size for r in got)
 
 
+@pytest.mark.parametrize("mixed", [mixing.mixed_texts, mixing.packed_blocks])
+def test_slots_and_pieces_are_not_broadcast(spark, mixed):
+    """They are far more than Spark's estimate, which is that of the rows they are made from."""
+    out = mixed(mixed_rows(spark)[1])
+    assert out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    lines = re.findall(r"^[ :+-]*(?:\*\(\d+\) )?[A-Z].*", plan, re.MULTILINE)
+    depth = lambda line: re.match("[ :+-]*", line).end()
+    sent = []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            sent += itertools.takewhile(lambda x, at=depth(line): depth(x) > at, lines[i + 1 :])
+    assert any("MapInArrow" in x for x in lines) and not [x for x in sent if "MapInArrow" in x or "Generate" in x]
+
+
 def test_mix_keeps_rows_without_id(spark):
     rows = table(spark, [(None, "a b c"), (None, "d e"), (3, "f g h"), (3, "f g h")])
     got = corpus_pipeline.mix(spark, rows, "").collect()
