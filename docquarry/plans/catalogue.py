@@ -308,7 +308,7 @@ def pdf_pages(spark, sf_dir):
 
 def stream_ingest(spark, sf_dir):
     to = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    ingest_tables(spark, sf_dir, _docs(spark, sf_dir).schema, f"{to}/chunks", f"{to}/checkpoint", "documents.parquet").awaitTermination()
+    ingest_tables(spark, f"{sf_dir}/documents.parquet", _docs(spark, sf_dir).schema, f"{to}/chunks", f"{to}/checkpoint", "*").awaitTermination()
     return _long(spark.read.parquet(f"{to}/chunks").drop("batch"), "chunk_id", "page_number", "start")
 
 

@@ -6,6 +6,8 @@ written under its number, so that a batch that is run again replaces itself.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,9 +26,16 @@ def _write(rows: DataFrame, path: str, batch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def ingest_tables(spark: SparkSession, folder: str, schema: T.StructType, to: str, checkpoint: str, glob: str = "*.parquet", size: int = Config.chunk_size, overlap: int = Config.chunk_overlap) -> StreamingQuery:
-    """Chunk the rows (doc_id, text) of Parquet files as they arrive; ends when all there are have been read."""
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+def ingest_tables(spark: SparkSession, path: str, schema: T.StructType, to: str, checkpoint: str, glob: str = "*.parquet", size: int = Config.chunk_size, overlap: int = Config.chunk_overlap) -> StreamingQuery:
+    """Chunk the rows (doc_id, text) of Parquet files as they arrive; ends when all there are have been read.
+
+    path: a folder, whose files that glob matches are read, or one file.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(at):
+        # the file source takes folders only
+        path, glob = at.getParent().toString(), re.sub(r"[\\*?\[\]{}]", r"\\\g<0>", at.getName())
+    docs = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
     return docs.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda rows, i: _write(chunk_documents(with_pages(rows, single=True), size, overlap), to, i)).start()
 
 

@@ -7,12 +7,13 @@ from docquarry.cli import loop, questions
 from docquarry.errors import DocumentProcessingError
 from docquarry.operators.embed import HashedEmbedder
 from docquarry.operators.generate import Extractive
+from docquarry.plans import catalogue
 from docquarry.plans.ingest import STEPS
 from docquarry.sources import files as f
 from docquarry.sources.docx import W, make_docx, paragraphs_and_rows
 from docquarry.sources.pdf import make_pdf, page_texts
 from docquarry.sources.sample import PAGES, sample_pdf
-from docquarry.streaming.ingest import ingest_files
+from docquarry.streaming.ingest import ingest_files, ingest_tables
 
 
 @pytest.mark.parametrize("compress", [True, False])
@@ -133,3 +134,29 @@ def test_files_are_ingested_once(spark, tmp_path):
     (folder / "c.txt").write_bytes(b"no")
     run()
     assert spark.read.parquet(f"{to}/index").count() == 10 and spark.read.parquet(f"{to}/errors").count() == 1
+
+
+@pytest.mark.parametrize("kind", ["file", "folder", "odd names", "partitions"])
+def test_tables_are_ingested_from_files_and_folders(spark, tmp_path, kind):
+    at = f"{tmp_path}/documents.parquet"
+    rows = spark.range(40).selectExpr("id as doc_id", "if(id = 7, null, repeat(concat('word', id, ' '), 200)) as text", "id % 2 as half")
+    if kind == "file":
+        rows.coalesce(1).write.parquet(f"{tmp_path}/parts")
+        (part,) = (tmp_path / "parts").glob("*.parquet")
+        part.rename(at)
+    else:
+        rows.repartition(3).write.partitionBy(*["half"] * (kind == "partitions")).parquet(at)
+    if kind == "odd names":
+        for i, part in enumerate((tmp_path / "documents.parquet").glob("*.parquet")):
+            part.rename(f"{at}/{i}")
+    shown = lambda q: sorted(map(str, catalogue.queries()[q](spark, str(tmp_path)).collect()))
+    assert shown("stream_ingest") == shown("chunks") != []
+
+
+def test_a_file_is_ingested_by_its_own_name(spark, tmp_path):
+    for name, i in (("a*[1].parquet", 1), ("ab[1].parquet", 2), ("ab1.parquet", 3)):
+        spark.createDataFrame([(i, "text")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/made{i}")
+        (part,) = (tmp_path / f"made{i}").glob("*.parquet")
+        part.rename(tmp_path / name)
+    ingest_tables(spark, f"{tmp_path}/a*[1].parquet", spark.createDataFrame([], "doc_id long, text string").schema, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert [r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [1]
